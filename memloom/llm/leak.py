@@ -18,6 +18,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from memloom.llm.common import cut
 
@@ -29,7 +30,7 @@ BROADCAST_ROWS = 500_000
 _WORD = re.compile(r"[^\W_]+")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def plain_words(text: pd.Series) -> pd.Series:
     """Words by a blank: letters or digits after NFKD, without combining marks, lower-cased."""
 
