@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, canon, clusters, leak, neardup, vectors
+from memloom.llm import bpe, canon, clusters, leak, neardup, spam, vectors
 from memloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,5 +61,9 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leak.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "bench_items")).select("doc_id", "item_id")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spam.spam_texts(table(spark, sf_dir, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_unmatched, p4_found, p4_groups, p5_found, p6_ids, p6_roundtrip, p7_found)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_unmatched, p4_found, p4_groups, p5_found, p6_ids, p6_roundtrip, p7_found, p8_found)}
