@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memloom.llm import bpe, canon, clusters, leak, neardup, spam, vectors
+from memloom.llm import bpe, canon, clusters, leak, neardup, pii, spam, vectors
 from memloom.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +33,14 @@ def p2_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return loops.select(F.col("project").alias("value")).join(lost, "value").groupBy("value").agg(F.count("*").alias("n"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found_kinds(table(spark, sf_dir, "memories")).select(F.col("id").alias("memory_id"), "field", "kind")
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "memories")).withColumnRenamed("id", "memory_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.similar_pairs(table(spark, sf_dir, "memories").select("id", "subject", "body"))
 
@@ -66,4 +74,4 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_unmatched, p4_found, p4_groups, p5_found, p6_ids, p6_roundtrip, p7_found, p8_found)}
+    return {f.__name__: f for f in (p1_found, p1_clusters, p2_found, p2_unmatched, p3_found, p3_redacted, p4_found, p4_groups, p5_found, p6_ids, p6_roundtrip, p7_found, p8_found)}
