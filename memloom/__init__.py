@@ -1,0 +1 @@
+"""Memory retrieval, consolidation and corpus preparation on PySpark."""
