@@ -342,7 +342,7 @@ def upsert_by_key(spark, d):
     m = _memories(spark, d)
     stored = lifecycle.latest(m.where("id % 3 > 0 and node_key is not null"), ["node_key"], ["id"]).unionByName(m.where("id % 3 > 0 and node_key is null"))
     out = ingest.upsert(stored, m.where("id % 3 = 0"))
-    return out.select("id", "node_key", F.md5("body").alias("body_md5"), "project", "archived")
+    return out.select("node_key", F.md5("body").alias("body_md5"), "project", "archived")
 
 
 @query
@@ -706,6 +706,6 @@ def main_supplier_of_parts(spark, d):
 def co_ordered_parts(spark, d):
     """Consecutive parts of an order as walks, compacted."""
     li = tables(spark, d, "lineitem")[0]
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey")
     walks = li.withColumn("to_part", F.lead("l_partkey").over(w)).where("to_part is not null and to_part <> l_partkey")
     return walks.groupBy(F.col("l_partkey").alias("from_part"), "to_part").agg(F.count("*").alias("walks"))

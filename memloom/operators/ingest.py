@@ -66,7 +66,7 @@ def upsert(memories: DataFrame, incoming: DataFrame, refreshed: tuple[str, ...]
 
     A refreshed row keeps its id, subject, tier and other columns, keeps a project it
     has, and is taken out of the archive.  Of several incoming rows with one key the
-    largest id wins; new rows get ids after the largest stored one, in their own order.
+    largest id wins; new rows get ids after the largest stored one.
     """
     last = latest(incoming.where(F.col("node_key").isNotNull()), ["node_key"], [F.desc("id")])
     stored = memories.alias("m")
@@ -82,7 +82,7 @@ def upsert(memories: DataFrame, incoming: DataFrame, refreshed: tuple[str, ...]
 
 
 def with_new_ids(new: DataFrame, memories: DataFrame) -> DataFrame:
-    """Ids after the largest stored one, in the order of the incoming ids, counted part by part."""
+    """Consecutive ids after the largest stored one: by a hash part of the incoming id, then by that id, so no single task numbers all rows."""
     top = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
     part = F.pmod(F.xxhash64("id"), F.lit(64))
     sized = new.withColumn("_part", part)

@@ -16,11 +16,9 @@ def strengthen(memories: DataFrame, exposures: DataFrame, as_of: Column) -> Data
     times = exposures.groupBy("id").agg(F.count("*").alias("times"))
     n = F.coalesce("times", F.lit(0))
     count = F.coalesce("access_count", F.lit(0))
-    return memories.join(times, "id", "left").withColumns({
-        "weight": F.coalesce("weight", F.lit(0.0)) + clock.diminishing(count, n),
-        "access_count": count + n,
-        "last_accessed": F.when(n > 0, as_of).otherwise(F.col("last_accessed")),
-    }).drop("times")
+    # Two steps: inside the lambda of ``diminishing`` the count must be the one before.
+    weighed = memories.join(times, "id", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0)) + clock.diminishing(count, n))
+    return weighed.withColumns({"access_count": count + n, "last_accessed": F.when(n > 0, as_of).otherwise(F.col("last_accessed"))}).drop("times")
 
 
 def used(memories: DataFrame, ids: DataFrame) -> DataFrame:
