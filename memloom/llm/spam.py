@@ -75,11 +75,11 @@ def segments(text: str) -> list[tuple[str, int, list[str]]]:
     text = _URL.sub(f" {_LINK} ", text.replace("\x00", " "))
     text = re.sub(rf"\n\s*(?={_LINK})", " ", text)  # a link on a line of its own belongs to the line before
     out: list[tuple[str, int, list[str], bool]] = []
-    for line in text.split("\n"):
-        line = line.strip()
+    for raw in text.split("\n"):
+        line = raw.strip()
         if not line:
             continue
-        kind = _kind(line)
+        kind = "data" if raw.startswith(("    ", "\t")) and _LINK not in raw else _kind(line)  # indented as code is
         for part in re.split(r"(?<=[.?!])\s+", line) if kind == "text" else [line]:
             words = _WORD.findall(part.lower())
             short = kind == "text" and len(words) < SHORT
@@ -102,14 +102,14 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for at, (kind, chars, words) in enumerate(parts):
                 text_like = kind == "text"
                 share = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
-                rows.append((doc, at, kind, chars, words if text_like else [], [singles[w] for w in words] if text_like else [], [pairs[p] for p in zip(words, words[1:])] if text_like else [], total, share))
-        yield pd.DataFrame(rows, columns=["id", "at", "kind", "chars", "words", "own", "own2", "total", "function"])
+                rows.append((doc, at, kind, chars, words if text_like else [], [singles[w] for w in words] if text_like else [], [pairs[p] for p in zip(words, words[1:])] if text_like else [], [w not in FUNCTION_WORDS for w in words] if text_like else [], total, share))
+        yield pd.DataFrame(rows, columns=["id", "at", "kind", "chars", "words", "own", "own2", "content", "total", "function"])
 
 
 def score_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, at, kind, chars, function, repeated, incoherent, pmi): every segment with its measures."""
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
-    parts = cut(texts.mapInPandas(_split, "id long, at int, kind string, chars int, words array<string>, own array<int>, own2 array<int>, total int, function double"))
+    parts = cut(texts.mapInPandas(_split, "id long, at int, kind string, chars int, words array<string>, own array<int>, own2 array<int>, content array<boolean>, total int, function double"))
     plain = parts.where((F.col("kind") == "text") & (F.size("words") > 0))
     single = plain.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
     pair_hash = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))
@@ -121,22 +121,23 @@ def score_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     loose = F.col("function") <= FUNCTION_SHARE
     asked = doubles.select(
         "id", "at", "total", loose.alias("loose"),
-        F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(i.alias("i"), F.get("own2", i).alias("o"), F.xxhash64(F.get("words", i), F.get("words", i + 1)).alias("p"), F.xxhash64(F.get("words", i)).alias("w1"), F.xxhash64(F.get("words", i + 1)).alias("w2"), F.get("own", i).alias("o1"), F.get("own", i + 1).alias("o2")))).alias("x"),
+        F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(i.alias("i"), F.get("own2", i).alias("o"), F.xxhash64(F.get("words", i), F.get("words", i + 1)).alias("p"), F.xxhash64(F.get("words", i)).alias("w1"), F.xxhash64(F.get("words", i + 1)).alias("w2"), F.get("own", i).alias("o1"), F.get("own", i + 1).alias("o2"), F.get("content", i).alias("k1"), F.get("content", i + 1).alias("k2")))).alias("x"),
     ).select("id", "at", "total", "loose", "x.*")
     frequent = (F.col("o") >= MIN_REPEATS) & (F.col("o") > F.lit(PAIR_RATE) * F.col("total"))
     asked = cut(asked.where(frequent | F.col("loose")).join(double, "p").drop("p"))
     lifted = F.col("o") / F.col("total") >= F.lit(LIFT / n2) * (F.col("c2") - F.col("o") + 1)
-    by_pair = asked.where(frequent & lifted).select("id", "at", F.explode(F.array(F.col("i"), F.col("i") + 1)).alias("i"))
-    words = plain.select("id", "at", "total", F.explode(F.transform("words", lambda w, i: F.struct(i.alias("i"), F.get("own", i).alias("o"), F.xxhash64(w).alias("w")))).alias("x")).select("id", "at", "total", "x.*")
-    often = words.where((F.col("o") >= MIN_REPEATS) & (F.col("o") >= F.lit(WORD_RATE) * F.col("total"))).join(single, "w")
+    by_pair = asked.where(frequent & lifted).select("id", "at", F.explode(F.filter(F.array(F.when(F.col("k1"), F.col("i")), F.when(F.col("k2"), F.col("i") + 1)), lambda i: i.isNotNull())).alias("i"))
+    words = plain.select("id", "at", "total", F.explode(F.transform("words", lambda w, i: F.struct(i.alias("i"), F.get("own", i).alias("o"), F.get("content", i).alias("k"), F.xxhash64(w).alias("w")))).alias("x")).select("id", "at", "total", "x.*")
+    often = words.where(F.col("k") & (F.col("o") >= MIN_REPEATS) & (F.col("o") >= F.lit(WORD_RATE) * F.col("total"))).join(single, "w")
     by_word = often.where(F.col("o") / F.col("total") >= F.lit(LIFT / n1) * (F.col("c") - F.col("o") + 1)).select("id", "at", "i")
     covered = by_pair.unionByName(by_word).groupBy("id", "at").agg(F.count_distinct("i").alias("covered"))
 
     s1, s2 = single.select(F.col("w").alias("w1"), F.col("c").alias("c1")), single.select(F.col("w").alias("w2"), F.col("c").alias("cc"))
-    pmi = F.greatest(F.lit(-3.0), F.log2((F.col("c2") - F.col("o") + 0.05) * F.lit(float(n1)) / ((F.col("c1") - F.col("o1") + 1) * (F.col("cc") - F.col("o2") + 1))))
+    alone = F.col("c2") <= F.col("o")  # no other text has these neighbours
+    pmi = F.when(alone, F.lit(-3.0)).otherwise(F.greatest(F.lit(-3.0), F.log2((F.col("c2") - F.col("o") + 0.05) * F.lit(float(n1)) / ((F.col("c1") - F.col("o1") + 1) * (F.col("cc") - F.col("o2") + 1)))))
     salad = asked.where("loose").join(s1, "w1").join(s2, "w2").groupBy("id", "at").agg(F.avg(pmi).alias("pmi"), F.avg((pmi < INCOHERENT_PMI).cast("double")).alias("incoherent"))
     measured = parts.select("id", "at", "kind", "chars", "function", F.size("words").alias("n")).join(covered, ["id", "at"], "left").join(salad, ["id", "at"], "left")
-    return measured.withColumn("repeated", F.coalesce(F.col("covered") / F.col("n"), F.lit(0.0)))
+    return measured.withColumn("repeated", F.coalesce(F.col("covered") / (F.col("n") * (1 - F.col("function"))), F.lit(0.0)))
 
 
 def spam_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
