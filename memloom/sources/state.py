@@ -37,10 +37,10 @@ class State:
 
 def current(spark: SparkSession, root: str) -> int:
     """Number of the version that the pointer names; 0 if there is none."""
-    fs, pointer = _fs(spark, f"{root}/_current")
+    fs, pointer = _fs(spark, f"{root}/CURRENT")
     if not fs.exists(pointer):
         return 0
-    return int(spark.read.text(f"{root}/_current").first()[0])
+    return int(spark.read.text(f"{root}/CURRENT").first()[0])
 
 
 def load(spark: SparkSession, root: str, version: int | None = None) -> State:
@@ -60,11 +60,11 @@ def save(state: State, spark: SparkSession, root: str, partition: dict[str, list
         if partition and name in partition:
             writer = writer.partitionBy(*partition[name])
         writer.parquet(f"{root}/v{n}/{name}")
-    fs, new = _fs(spark, f"{root}/_current_{n}")
+    fs, new = _fs(spark, f"{root}/CURRENT.{n}")
     out = fs.create(new, True)
     out.write(bytearray(str(n).encode()))
     out.close()
-    _, old = _fs(spark, f"{root}/_current")
+    _, old = _fs(spark, f"{root}/CURRENT")
     if fs.exists(old):
         fs.delete(old, False)
     fs.rename(new, old)

@@ -78,12 +78,13 @@ class Settle(StatefulProcessor):
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t)
             self.handle.registerTimer(int(pd.Timestamp(last["ts"]).timestamp() * 1000) + self.seconds * 1000)
-        yield pd.DataFrame({"conv_id": [], "turn": [], "role": [], "text": []})
+        return iter(())
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
         role, text, _ = self.text.get()
         self.text.update((role, text, True))
-        yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]], "role": [role], "text": [text]})
+        words = pd.DataFrame({"role": [role], "text": [text]}, dtype=object)
+        yield pd.DataFrame({"conv_id": [key[0]], "turn": [key[1]]}).join(words)
 
     def close(self) -> None:
         pass
