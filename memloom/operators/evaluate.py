@@ -77,6 +77,7 @@ def association_pairs(pairs: DataFrame, ranked: DataFrame, edges: DataFrame, mem
     return r.select("a", "b", c.alias("cold"), (c | F.coalesce("act", F.lit(False))).alias("warm"), F.col("linked").alias("covered"))
 
 
+ID_RANGE = 65_536
 #: Start and step of the fixed generator (fixed values).
 LCG_START, LCG_FACTOR, LCG_STEP = 0x2545F4914F6CDD1D, 6364136223846793005, 1442695040888963407
 
@@ -111,7 +112,11 @@ def by_subject(names: DataFrame, memories: DataFrame) -> DataFrame:
 
 def export_index(memories: DataFrame, links: DataFrame) -> DataFrame:
     """(place, subject, body, links): rows by place from 0 in the order of ids, links as places."""
-    top = Window.orderBy("id")
-    placed = memories.select("id", "subject", "body").withColumn("place", F.row_number().over(top) - 1)
+    # Ranges of ids are counted first, so that no task has to number all rows.
+    ranged = memories.select("id", "subject", "body", F.floor(F.col("id") / F.lit(ID_RANGE)).alias("range"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("range").agg(F.count("*").alias("n")).select("range", before.alias("before"))
+    inside = F.row_number().over(Window.partitionBy("range").orderBy("id"))
+    placed = ranged.withColumn("inside", inside).join(ranges, "range").select("id", "subject", "body", (F.col("before") + F.col("inside") - 1).alias("place"))
     to = links.select("from_id", "to_id").distinct().join(placed.select(F.col("id").alias("to_id"), F.col("place").alias("to")), "to_id")
-    return placed.join(to.groupBy(F.col("from_id").alias("id")).agg(F.sort_array(F.collect_list("to")).alias("links")), "id", "left").select("place", "subject", "body", F.coalesce("links", F.array().cast("array<int>")).alias("links"))
+    return placed.join(to.groupBy(F.col("from_id").alias("id")).agg(F.sort_array(F.collect_list("to")).alias("links")), "id", "left").select("place", "subject", "body", F.coalesce("links", F.array().cast("array<long>")).alias("links"))

@@ -58,11 +58,12 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query
     """(query_col, id_col, cosine, pos): the k most similar rows of every query, pos from 1.
 
     Rows and queries compare within one model and length only.  Unusable vectors
-    (null, empty, non-finite, all zero) match nothing.  Ties go to the smaller id.
+    (null, empty, non-finite, all zero) and null ids match nothing.  Ties go to the smaller id.
     Repeated ids keep their best place once.
     """
     r = _key(rows, vec, model).select(F.col(id_col).cast("long").alias("id"), "space", F.col(vec).cast("array<double>").alias("v"))
-    asked = _key(queries, vec, model).select(F.col(query_col).cast("long").alias("q"), "space", F.col(vec).cast("array<double>").alias("v"))
+    r = r.where("id is not null")
+    asked = _key(queries.where(F.col(query_col).isNotNull()), vec, model).select(F.col(query_col).cast("long").alias("q"), "space", F.col(vec).cast("array<double>").alias("v"))
     total = asked.count()
     blocks = max(1, -(-total // QUERY_BLOCK))
     spark = rows.sparkSession
@@ -139,9 +140,9 @@ def near_duplicates(memories: DataFrame, asked: DataFrame, as_of: Column, thresh
 
 
 def nearest_centroid(queries: DataFrame, doorways: DataFrame, threshold: float = 0.60) -> DataFrame:
-    """(query_id, key, cosine): the nearest fresh doorway, if at the threshold or more.  Doorways go out in bounded blocks."""
+    """(query_id, key, cosine): the nearest fresh doorway, if at the threshold or more.  Equal cosines go to the smaller hash of the key."""
     fresh = doorways.where(~F.coalesce("stale", F.lit(False)))
-    numbered = fresh.select(F.row_number().over(Window.orderBy("key")).alias("n"), "key", F.col("centroid").alias("embedding"))
+    numbered = fresh.select(F.xxhash64("key").alias("n"), "key", F.col("centroid").alias("embedding"))
     hits = top_k(numbered, queries, 1, id_col="n", model=None)
     return hits.where(F.col("cosine") >= threshold).join(numbered.select("n", "key"), "n").select("query_id", "key", "cosine")
 

@@ -40,16 +40,16 @@ def backfilled(topics: DataFrame, tags: DataFrame, memories: DataFrame, per_topi
     """New tags (slug, id): live rows of the topic's project whose subject or body contains the topic's words as written.
 
     Words of the slug joined by blanks, of at least ``shortest`` characters; at most
-    ``per_topic`` new tags a topic, the lowest ids first.  Texts and terms meet on the
-    term's first word, then the whole term is looked for.
+    ``per_topic`` new tags a topic, the lowest ids first.  A term of several words holds
+    two characters, a blank and two characters; texts and terms meet on these, then the
+    whole term is looked for.  Terms of one word are compared with their project's rows.
     """
     terms = topics.select("slug", "project", F.regexp_replace("slug", "-", " ").alias("term")).where(F.length("term") >= shortest)
-    # A term may begin inside a word, so its second word, if any, is the one that surely starts at a border.
-    words = F.split("term", " ")
-    terms = terms.withColumn("key", F.when(F.size(words) > 2, F.get(words, F.lit(1))))
+    border = F.regexp_extract("term", r"(\S{2} \S{2})", 1)
+    terms = terms.withColumn("key", F.nullif(border, F.lit("")))
     full = F.lower(F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))))
     rows = memories.where(~F.coalesce("archived", F.lit(False)) & not_recycled(F.col("origin"))).select("id", "project", full.alias("text"))
-    keyed = rows.select("id", "project", "text", F.explode(F.array_distinct(F.split("text", r"[^a-z0-9]+"))).alias("key"))
+    keyed = rows.select("id", "project", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=(\S{2} \S{2}))"), F.lit(1)))).alias("key"))
     by_word = keyed.join(terms.where("key is not null"), ["key", "project"]).where(F.col("text").contains(F.col("term"))).select("slug", "id")
     by_project = rows.join(terms.where("key is null").drop("key"), "project").where(F.col("text").contains(F.col("term"))).select("slug", "id")
     new = by_word.unionByName(by_project).distinct().join(tags.select("slug", "id"), ["slug", "id"], "left_anti")

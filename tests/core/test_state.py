@@ -209,3 +209,10 @@ def test_providers(spark):
     assert providers.answer_text([{"type": "text", "text": "x"}], "end_turn") == "x" and providers.answer_text([{"type": "text", "text": "x"}], "max_tokens") is None
     b = providers.Budget(3)
     assert (b.take(2), b.take(2), b.take()) == (2, 1, 0)
+
+
+def test_export_numbers_rows_over_ranges(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "ID_RANGE", 3)
+    m = memories(spark, [{"id": i} for i in (2, 3, 7, 20)])
+    links = spark.createDataFrame([(2, 20), (20, 3), (20, 2), (20, 99)], "from_id long, to_id long")
+    assert {r["place"]: r["links"] for r in evaluate.export_index(m, links).collect()} == {0: [3], 1: [], 2: [], 3: [0, 1]}
