@@ -108,7 +108,7 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def score_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, at, kind, chars, function, repeated, incoherent, pmi): every segment with its measures."""
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.trim(F.coalesce("text", F.lit(""))) != "")
+    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("id").isNotNull())
     parts = cut(texts.mapInPandas(_split, "id long, at int, kind string, chars int, words array<string>, own array<int>, own2 array<int>, content array<boolean>, total int, function double"))
     plain = parts.where((F.col("kind") == "text") & (F.size("words") > 0))
     single = plain.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
@@ -143,7 +143,7 @@ def score_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def spam_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, share): the texts whose larger part is spam, with the share of their characters in spam segments.
 
-    Null, empty, blank and one-word texts are no cases.  Repeated rows of one id
+    Null, empty, blank and one-word texts are no cases, nor are rows without an id.  Repeated rows of one id
     count together and come out once; an empty table gives an empty result.
     """
     s = score_segments(df, id_col, text_col)

@@ -40,8 +40,8 @@ def _usable(rows: np.ndarray) -> np.ndarray:
 
 
 def spaces(df: DataFrame, id_col: str, vec_col: str, model_col: str) -> DataFrame:
-    """(id, space, vec); a space is one embedding_model at one length, and null models belong to none."""
-    return df.where(F.col(vec_col).isNotNull() & F.col(model_col).isNotNull() & (F.size(vec_col) > 0)).select(
+    """(id, space, vec); a space is one embedding_model at one length; rows with a null id or model belong to none."""
+    return df.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & F.col(model_col).isNotNull() & (F.size(vec_col) > 0)).select(
         F.col(id_col).cast("long").alias("id"),
         F.concat_ws("|", F.size(vec_col).cast("string"), F.col(model_col)).alias("space"),
         F.col(vec_col).cast("array<float>").alias("vec"),

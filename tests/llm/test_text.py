@@ -44,7 +44,7 @@ def test_leaks_equal_brute_force(spark, monkeypatch, small):
     item = [f"Wört{i % 23}-{i}" for i in range(40)]
     other = ["again"] * 30
     items = [(1, " ".join(item), "x"), (2, " ".join(other), "x"), (3, "too short to leak", "x"), (4, None, None), (5, "", None)]
-    docs = [(1, "Before " + ", ".join(item[3:15]).upper() + " after", "y"), (2, " ".join(item[3:14]), "y"), (3, None, None), (4, "", None), (5, " ".join(item[5:10] + ["cut"] + item[10:16]), "y"), (6, "x " + " ".join(item) + " " + "again " * 12, "y"), (7, "again " * 11, "y"), (1, "Before " + ", ".join(item[3:15]).upper() + " after", "y"), (8, "again " * 5000, "y")]
+    docs = [(1, "Before " + ", ".join(item[3:15]).upper() + " after", "y"), (2, " ".join(item[3:14]), "y"), (3, None, None), (4, "", None), (5, " ".join(item[5:10] + ["cut"] + item[10:16]), "y"), (6, "x " + " ".join(item) + " " + "again " * 12, "y"), (7, "again " * 11, "y"), (1, "Before " + ", ".join(item[3:15]).upper() + " after", "y"), (8, "again " * 5000, "y"), (9, "x", None)]
     want = set()
     for d, t, _ in docs:
         for i, s, _ in items:
@@ -105,7 +105,7 @@ def test_entity_kinds(model, text, kinds):
 
 
 def test_redaction_keeps_the_rest(spark):
-    rows = _pii_rows() + [(5000, None, None, None), (5001, "", "", ""), (5002, "word " * 30_000 + "Call (571) 555-0189.", "Elokel Skavegger", None)]
+    rows = _pii_rows() + [(5000, None, None, None), (5001, "", "", ""), (5002, "word " * 30_000 + "Call (571) 555-0189.", "Elokel Skavegger", None), (None, "Call (571) 555-0189.", None, None)]
     df = spark.createDataFrame(rows, "id long, body string, person string, kind string")
     out = {r["id"]: r for r in pii.redact(df).collect()}
     assert out[0]["body"] == "Please ask [NAME] about the town pump, or write to [EMAIL] soon. The Boat Shed of Limstead stays open."
@@ -135,7 +135,7 @@ def test_spam(spark):
         22: '{"key": [' + ", ".join(f'{{"id": {i}, "name": "x"}}' for i in range(30)) + "]}", 23: "def f(x):\n    return [y for y in x if y]\n" * 6, 24: SENTENCES[0] + " See https://www.page.example/a and #harbour. " + SENTENCES[1] + " " + SENTENCES[2],
         25: None, 26: "", 27: "   \n ", 28: "hotel", 29: "#tag", **{30 + i: t for i, t in enumerate(prose)}, 40: " ".join(f"The {a} of the {b} was not in the {c} when we came to it." for a, b, c in zip(NOUNS * 30, NOUNS[7:] * 40, NOUNS[3:] * 40)),
     }
-    rows = [(k, v, "clash", 0) for k, v in [*cases.items(), *clean.items()]] + [(1, cases[1], "clash", 0)]
+    rows = [(k, v, "clash", 0) for k, v in [*cases.items(), *clean.items()]] + [(1, cases[1], "clash", 0), (None, cases[2], None, None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, id string, at int")
     got = [r["doc_id"] for r in spam.spam_texts(df).collect()]
     assert sorted(got) == sorted(cases)

@@ -19,13 +19,14 @@ def _rows(seed=1, groups=12, dim=16):
             i += 1
     copy = rows[3]
     rows += [(i + k, copy[1], "m", f"c{k}", "x") for k in range(9)]
-    rows += [(i + 20, None, None, None, None), (i + 21, [0.0] * dim, "m", "zero", None), (i + 22, [float("nan")] * dim, "m", None, None), (i + 23, [float("inf")] + [1.0] * (dim - 1), "m", None, None), (i + 24, copy[1], "other", "n", None), (i + 25, copy[1][:5], "m", "short", None), (i + 26, [], "m", "empty", None), (i + 27, copy[1], None, "no model", None)]
+    rows += [(i + 20, None, None, None, None), (i + 21, [0.0] * dim, "m", "zero", None), (i + 22, [float("nan")] * dim, "m", None, None), (i + 23, [float("inf")] + [1.0] * (dim - 1), "m", None, None), (i + 24, copy[1], "other", "n", None), (i + 25, copy[1][:5], "m", "short", None), (i + 26, [], "m", "empty", None), (None, copy[1], "m", "no id", None), (i + 27, copy[1], None, "no model", None)]
     random.Random(seed).shuffle(rows)
     return rows
 
 
 def _alike(rows):
     """{id: [(cosine, other)]} of all usable pairs at 0.80 or more."""
+    rows = [r for r in rows if r[0] is not None]
     good = [(i, np.array(v, dtype=np.float32).astype(float), m) for i, v, m, *_ in rows if v and m]
     good = [x for x in good if np.isfinite(x[1]).all() and (x[1] != 0).any()]
     out = {}
