@@ -95,13 +95,6 @@ def _trim_sql(column: str, target: int = 400) -> str:
     return f"case when length({full}) <= {target} then {full} else coalesce({', '.join(last(e) for e in ('. ', '? ', '! ', '.' + chr(10), '; '))}, rtrim({part}, ' ') || '…') end"
 
 
-_MENTIONS = (
-    "terms as (select term, canonical from (select *, row_number() over (partition by term order by turn, canonical) as n from (select lower(slug) as term, slug as canonical, 0 as turn from projects union all select lower(display_name), slug, 1 from projects union all select lower(alias), canonical, 2 from project_aliases) where length(term) >= 3) where n = 1), "
-    "texts as (select id, project, lower(coalesce(subject, '') || ' ' || coalesce(body, '')) as text from memories), "
-    "ment as (select distinct id, canonical from texts join terms on contains(text, term) and regexp_matches(text, '(^|[^\\p{L}\\p{N}_])' || regexp_escape(term) || '([^\\p{L}\\p{N}_]|$)'))"
-)
-
-
 def oracle_sql() -> dict[str, str]:
     from memloom.functions.text import NOUN_WORDS
 
@@ -195,11 +188,6 @@ def oracle_sql() -> dict[str, str]:
         "previews": "select id, coalesce(nullif(trim(recall_form, ' '), ''), replace(substring(coalesce(body, ''), 1, 220), chr(10), ' ') || case when length(body) > 220 then '...' else '' end) as preview from memories",
         "sentence_trims": f"select id, {_trim_sql('body')} as trimmed from memories",
         "short_forms": f"select id, recall_form from (select id, body, {_trim_sql('body')} as recall_form from memories where length(body) > 400 and tier in ('curated', 'insight', 'decision', 'project') and memories.recall_form is null and not coalesce(archived, false)) where length(recall_form) > 0 and length(recall_form) < length(body)",
-        "project_mentions": f"with {_MENTIONS} select canonical, count(*) as n from ment group by canonical",
-        "project_classification": (
-            f"with {_MENTIONS}, c as (select t.id, t.project as a, count(m.canonical) as k, count(m.canonical) filter (where m.canonical is distinct from t.project) as others, min(m.canonical) as one from texts t left join ment m on m.id = t.id group by 1, 2), "
-            "s as (select case when a is not null and others = 0 then a when a is null and k = 1 then one end as s, a from c) select case when s is not null then 'context' else 'fallback' end as method, count(*) as n, count(coalesce(s, a)) as with_project from s group by 1"
-        ),
         "topic_slugs": f"select id, {slug} as slug from memories",
         "noun_types": f"select case when {has(NOUN_WORDS['place'])} then 'place' when {has(NOUN_WORDS['project'])} then 'project' when regexp_matches(coalesce(person, ''), '^\\p{{Lu}}') and contains(person, ' ') then 'person' else 'thing' end as noun_type, count(*) as n from memories group by 1",
         "gap_categories": _gap_sql(),
