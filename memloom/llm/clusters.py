@@ -147,9 +147,9 @@ class Clustering:
 
     def __init__(self, df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> None:
         self.threshold = threshold
-        self.perms = vectors.permuted(df, id_col, vec_col, model_col)
-        self.links = cut(vectors.similar_units(self.perms, threshold))
-        self.same = vectors.copies(self.perms)
+        self.usable = vectors.prepared(df, id_col, vec_col, model_col)
+        self.links = vectors.similar_units(self.usable, threshold)
+        self.same = vectors.copies(self.usable)
         sizes = self.same.where("id = unit").select("unit", "n")
         na, nb = sizes.select(F.col("unit").alias("a"), F.col("n").alias("na")), sizes.select(F.col("unit").alias("b"), F.col("n").alias("nb"))
         edges = self.links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cos").join(na, "a", "left").join(nb, "b", "left").fillna(1, ["na", "nb"])
@@ -197,8 +197,8 @@ def closed_pairs(df: DataFrame, threshold: float = 0.80, least: int = 3, **cols:
     """(id_a, id_b): all pairs of the clusters of ``least`` records or more that are closed.
 
     Closed: every two members at the threshold or more, and no record outside
-    reaches it with a member.  The clusters come from the linkage; an exact check of
-    every two members follows where the index did not already give each pair.
+    reaches it with a member.  The links are all pairs at the threshold or more, so
+    counting them inside and across clusters decides both exactly.
     """
     c = Clustering(df, threshold, **cols)
     members = cut(c.members())
@@ -209,12 +209,6 @@ def closed_pairs(df: DataFrame, threshold: float = 0.80, least: int = 3, **cols:
     inside = ends.where(~crossing).groupBy(F.col("rs").alias("root")).agg(F.count("*").alias("links"))
     size = members.groupBy("root").agg(F.sum("copies").alias("n"), F.count("*").alias("k"))
     whole = size.where(F.col("n") >= least).join(open_, "root", "left_anti").join(inside, "root", "left").fillna(0, ["links"])
-    whole = cut(whole.withColumn("pairs", F.col("k") * (F.col("k") - 1) / 2))
-    doubt = whole.where("links < pairs")
-    blocks = doubt.select("root", F.col("root").cast("string").alias("space"), F.lit(0).alias("list"), F.ceil(F.col("k") / F.lit(vectors.BLOCK)).alias("blocks"))
-    parts = roots.join(blocks, "root").select(F.col("unit").alias("id"), "space", "list", "blocks")
-    exact = vectors.compare_lists(parts.join(c.perms.select("id", "vec", "perm"), "id"), threshold, None, index=False)
-    exact = exact.join(roots.select(F.col("unit").alias("src"), "root"), "src").groupBy("root").agg(F.count("*").alias("got"))
-    closed = whole.where("links = pairs").select("root").unionByName(doubt.join(exact, "root").where("got = pairs").select("root"))
+    closed = whole.where(F.col("links") == F.col("k") * (F.col("k") - 1) / 2).select("root")
     rows = c.rows(members.join(closed, "root", "left_semi")).select("root", "id")
     return rows.select("root", F.col("id").alias("id_a")).join(rows.select("root", F.col("id").alias("id_b")), "root").where("id_a < id_b").select("id_a", "id_b")

@@ -1,15 +1,11 @@
-"""Permutation index over vectors: candidate search and exact re-ranking.
-
-A vector is represented by its nearest pivots in order (its permutation, cut to
-PREFIX places).  It is posted in the inverted lists of its first POSTED pivots,
-so two vectors are compared where they share a list.  There the footrule
-distance of the two permutations decides which pairs go on to the exact cosine
-in double precision.
-
-Pivots are the only fitted part: a bounded sample of MAX_PIVOTS vectors a space
-at most.  Every row is indexed.  Lists that grow beyond BLOCK rows are compared
-block by block in separate tasks, so no list is ever cut off and none has to fit
-into one task.
+"""Exact search for similar vectors: every two vectors of a space are compared.
+
+The distinct vectors are dealt into blocks.  One block at a time goes to all
+rows as a broadcast, and each task compares its rows with it in tiles: a product
+in single precision leaves out what is surely below the threshold, the rest gets
+its cosine in double precision.  No pair is passed over, however the vectors are
+distributed; the work grows with the square of a space's distinct vectors, while
+memory and disk grow with the rows and the results only.
 """
 
 from __future__ import annotations
@@ -23,16 +19,14 @@ from pyspark.sql import functions as F
 
 from memloom.llm.common import binary_rows, cut, groups, rows_of_binary
 
-PREFIX = 8
-POSTED = 4
-ROWS_A_PIVOT = 256
-MIN_PIVOTS = 16
-MAX_PIVOTS = 4096
-#: Largest footrule distance of a candidate, as a share of the largest possible one.
-FOOTRULE = 0.75
-BLOCK = 4096
+#: Rows of one broadcast block, and rows and columns of a tile.
+BLOCK = 32_768
 TILE = 512
-SCALE = 1_000_000
+COLUMNS = 2_048
+#: Pairs a task collects before it keeps the best of each row.
+HELD = 500_000
+#: Error allowed for a cosine in single precision; candidates within it are decided in double precision.
+SINGLE = 1e-5
 
 
 def _usable(rows: np.ndarray) -> np.ndarray:
@@ -48,36 +42,12 @@ def spaces(df: DataFrame, id_col: str, vec_col: str, model_col: str) -> DataFram
     )
 
 
-def choose_pivots(vectors: DataFrame, counts: dict[str, int]) -> dict[str, np.ndarray]:
-    """Pivots by space, from a sample in the order of a hash of the id; at most 4 x MAX_PIVOTS rows a space reach the driver."""
-    if not counts:
-        return {}
-    want = {s: min(MAX_PIVOTS, max(MIN_PIVOTS, n // ROWS_A_PIVOT)) for s, n in counts.items()}
-    share = F.lit(0)
-    for s, n in counts.items():
-        share = F.when(F.col("space") == s, F.lit(min(SCALE, SCALE * 4 * want[s] // n + 1))).otherwise(share)
-    rank = F.pmod(F.xxhash64("id", F.lit("pivot")), F.lit(SCALE))
-    pdf = vectors.where(rank < share).select("space", rank.alias("rank"), "id", "vec").toPandas().sort_values(["rank", "id"])
-    out = {}
-    for s, part in pdf.groupby("space"):
-        rows = np.array([np.asarray(v, dtype=np.float32) for v in part["vec"]], dtype=np.float32)
-        rows = rows[_usable(rows)].astype(np.float64)
-        rows /= np.linalg.norm(rows, axis=1)[:, None]
-        first = np.sort(np.unique(rows.round(6), axis=0, return_index=True)[1])
-        out[s] = rows[first][: want[s]].astype(np.float32)
-    return {s: p for s, p in out.items() if len(p)}
-
-
-def permuted(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> DataFrame:
-    """(id, space, digest, vec, perm, posts) of every usable vector, cut off from its lineage.
+def prepared(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> DataFrame:
+    """(id, space, digest, vec) of every usable vector, cut off from its lineage.
 
     Null, empty, non-finite and all-zero vectors give no row.
     """
-    spark = df.sparkSession
     vectors = spaces(df, id_col, vec_col, model_col)
-    counts = {r["space"]: r["n"] for r in vectors.groupBy("space").agg(F.count("*").alias("n")).collect()}
-    pivots = spark.sparkContext.broadcast(choose_pivots(vectors, counts))
-    schema = "id long, space string, digest binary, vec binary, perm binary, posts array<int>"
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -91,49 +61,32 @@ def permuted(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", mode
             for i, s in enumerate(names):
                 by.setdefault(s, []).append(i)
             for s, at in by.items():
-                if s not in pivots.value:
-                    continue
-                p = pivots.value[s]
                 at = np.array(at)
-                rows = values[offsets[at][:, None] + np.arange(p.shape[1])].astype(np.float32)
+                rows = values[offsets[at][:, None] + np.arange(int(s.split("|", 1)[0]))].astype(np.float32)
                 ok = _usable(rows)
                 rows, own = rows[ok], ids[at[ok]]
                 if not len(rows):
                     continue
-                wide = rows.astype(np.float64)
-                unit = (wide / np.linalg.norm(wide, axis=1)[:, None]).astype(np.float32)
-                near = unit @ p.T
-                m = min(PREFIX, len(p))
-                top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(p) else np.tile(np.arange(m), (len(near), 1))
-                order = np.lexsort((top, -np.take_along_axis(near, top, 1)), axis=1)
-                perm = np.take_along_axis(top, order, 1).astype(np.int32)
-                q = min(POSTED, m)
-                posts = pa.ListArray.from_arrays(pa.array(np.arange(len(perm) + 1, dtype=np.int32) * q), pa.array(perm[:, :q].ravel()))
                 raw = rows + np.float32(0)  # -0.0 and 0.0 are one value
                 digest = [hashlib.blake2b(r.tobytes(), digest_size=16, key=s.encode()[:64]).digest() for r in raw]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own), pa.array([s] * len(own)), pa.array(digest, pa.binary()), binary_rows(raw), binary_rows(perm), posts],
-                    ["id", "space", "digest", "vec", "perm", "posts"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([s] * len(own)), pa.array(digest, pa.binary()), binary_rows(raw)], ["id", "space", "digest", "vec"])
 
-    return cut(vectors.mapInArrow(assign, schema))
+    return cut(vectors.mapInArrow(assign, "id long, space string, digest binary, vec binary"))
 
 
-def units(perms: DataFrame) -> DataFrame:
+def units(rows: DataFrame) -> DataFrame:
     """One row for each distinct vector of a space: ``id`` is the smallest of its copies, ``copies`` their number."""
-    return perms.groupBy("digest").agg(
-        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("vec").alias("vec"), F.first("perm").alias("perm"), F.first("posts").alias("posts")
-    )
+    return rows.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("vec").alias("vec"))
 
 
-def copies(perms: DataFrame) -> DataFrame:
+def copies(rows: DataFrame) -> DataFrame:
     """(unit, id) of every row whose vector occurs more than once."""
-    many = perms.groupBy("digest").agg(F.min("id").alias("unit"), F.count("*").alias("n")).where("n > 1")
-    return perms.select("digest", "id").join(many, "digest").select("unit", "id", "n")
+    many = rows.groupBy("digest").agg(F.min("id").alias("unit"), F.count("*").alias("n")).where("n > 1")
+    return rows.select("digest", "id").join(many, "digest").select("unit", "id", "n")
 
 
 def _footrule_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sum over common pivots of the smaller weight, for every row of ``a`` and of ``b``.
+    """Sum over common pivots of the smaller weight, for every row of ``a`` and of ``b``; the search itself needs no pivots.
 
     A pivot at place i (from 0) weighs PREFIX - i.  The footrule distance of two
     permutations is m(m+1) minus twice this sum.
@@ -168,83 +121,96 @@ def _top(src: np.ndarray, dst: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.
     return src[keep], dst[keep], cos[keep]
 
 
-def compare_lists(posted: DataFrame, threshold: float, k: int | None, index: bool) -> DataFrame:
-    """(src, dst, cos) of the pairs of each list (space, list) at ``threshold`` or more.
+def _unit_rows(col: pa.Array) -> np.ndarray:
+    vec = rows_of_binary(col, np.float32).astype(np.float64)
+    return vec / np.linalg.norm(vec, axis=1)[:, None]
+
+
+def _best_columns(near: np.ndarray, hit: np.ndarray, k: int) -> np.ndarray:
+    """Of ``hit`` what may be among the k best of its row or of its column, ties included."""
+    if min(near.shape) <= k or np.count_nonzero(hit) <= 4 * k * sum(near.shape):
+        return hit
+    by_row = near >= np.partition(near, -k, axis=1)[:, -k][:, None] - 2 * SINGLE
+    by_column = near >= np.partition(near, -k, axis=0)[-k][None, :] - 2 * SINGLE
+    return hit & (by_row | by_column)
 
-    ``posted`` has space, list, blocks, id, vec and perm.  With ``index`` only pairs
-    within the footrule bound are compared, and a pair that shares several lists
-    comes from the smallest of them; without it every pair of the list is compared.
-    With k, both directions come out and each row keeps its k best of the list.
-    """
-    spread = posted.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int")).select(
-        "space", "list", "id", "vec", "perm", "block",
-        F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))).alias("cell"),
-    )
-    spread = spread.select("space", "list", F.col("cell.lo").alias("lo"), F.col("cell.hi").alias("hi"), "block", "id", "vec", "perm")
-    key = ["space", "list", "lo", "hi"]
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in groups(batches, key):
-            if t.num_rows < 2:
+def _close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, k: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row of a, row of b, cosine) at ``threshold`` or more, tile by tile; ``a`` and ``b`` hold unit rows in double precision.
+
+    With k, pairs that are among the k best of neither side within their tile may be missing.
+    """
+    sa, sb = a.astype(np.float32), b.astype(np.float32)
+    for i in range(0, len(a), TILE):
+        for j in range(0, len(b), COLUMNS):
+            near = sa[i : i + TILE] @ sb[j : j + COLUMNS].T
+            hit = near >= threshold - SINGLE
+            if not hit.any():
                 continue
-            lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-            this = t["list"][0].as_py()
-            ids = t["id"].combine_chunks().to_numpy()
-            order = np.argsort(ids)
-            ids = ids[order]
-            block = t["block"].combine_chunks().to_numpy()[order]
-            vec = rows_of_binary(t["vec"].combine_chunks(), np.float32)[order].astype(np.float64)
-            vec /= np.linalg.norm(vec, axis=1)[:, None]
-            perm = rows_of_binary(t["perm"].combine_chunks(), np.int32)[order]
-            m = perm.shape[1]
-            least = m * (m + 1) * (1 - FOOTRULE) / 2
-            if lo == hi:
-                left = right = np.arange(len(ids))
+            if k is not None:
+                hit = _best_columns(near, hit, k)
+            r, c = np.nonzero(hit)
+            r, c = r + i, c + j
+            if len(r) > hit.size // 16:  # one product for the tile costs less than gathering its candidates
+                cos = (a[i : i + TILE] @ b[j : j + COLUMNS].T)[r - i, c - j].round(9)
             else:
-                left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
-            found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-            for at in range(0, len(left), TILE):
-                a = left[at : at + TILE]
-                b = right[right > a[0]] if lo == hi else right
-                if not len(b):
-                    continue
-                close = _footrule_similarity(perm[a], perm[b]) >= least if index else np.ones((len(a), len(b)), dtype=bool)
-                if lo == hi:
-                    close &= a[:, None] < b[None, :]
-                near = vec[a] @ vec[b].T  # one product for the tile costs less than gathering its candidates
-                r, c = np.nonzero(close & (near >= threshold - 1e-9))
-                cos = near[r, c].round(9)
-                ia, ib = a[r], b[c]
-                keep = cos >= threshold
-                if index and len(ia):
-                    pa_, pb_ = perm[ia][:, :POSTED], perm[ib][:, :POSTED]
-                    same = pa_[:, :, None] == pb_[:, None, :]
-                    owner = np.where(same, pa_[:, :, None], np.iinfo(np.int32).max).min(axis=(1, 2))
-                    keep &= owner == this
-                src, dst, cos = ids[ia[keep]], ids[ib[keep]], cos[keep]
-                if k is not None:
-                    src, dst, cos = _top(np.concatenate([src, dst, *[f[0] for f in found]]), np.concatenate([dst, src, *[f[1] for f in found]]), np.concatenate([cos, cos, *[f[2] for f in found]]), k)
-                    found = [(src, dst, cos)]
-                elif len(src):
-                    src, dst = np.minimum(src, dst), np.maximum(src, dst)
-                    yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(cos)], ["src", "dst", "cos"])
-            for src, dst, cos in found:
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(cos)], ["src", "dst", "cos"])
-
-    return spread.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "src long, dst long, cos double")
-
-
-def similar_units(perms: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
-    """(src, dst, cos): pairs of distinct vectors at ``threshold`` or more that the index finds.
-
-    Without k each pair comes once, src < dst.  With k both directions come, the
-    best k of each row in each list.
+                cos = np.einsum("ij,ij->i", a[r], b[c]).round(9)
+            keep = cos >= threshold
+            yield r[keep], c[keep], cos[keep]
+
+
+def similar_units(rows: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
+    """(src, dst, cos): all pairs of distinct vectors of one space at ``threshold`` or more, cut off from their lineage.
+
+    Without k each pair comes once, src < dst.  With k both directions come, and
+    at least the best k of each row.
     """
-    sizes = perms.select("space", F.explode("posts").alias("list")).groupBy("space", "list").agg(F.ceil(F.count("*") / F.lit(BLOCK)).alias("blocks")).where("blocks > 1")
-    posted = units(perms).select("space", F.explode("posts").alias("list"), "id", "vec", "perm")
-    # at most MAX_PIVOTS rows a space
-    posted = posted.join(F.broadcast(sizes), ["space", "list"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-    return compare_lists(posted, threshold, k, index=True)
+    spark = rows.sparkSession
+    one = units(rows).select("space", "id", "vec")
+    number = rows.select("digest").distinct().count()
+    blocks = max(1, -(-number // BLOCK))
+    parts = max(2 * spark.sparkContext.defaultParallelism, number // 16_384)
+    one = cut(one.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).repartition(parts, "id"))
+    kind = "src long, dst long, cos double"
+    found = spark.createDataFrame([], kind)
+    for turn in range(blocks):
+        held: dict[str, tuple[np.ndarray, pa.Array]] = {}
+        for t in groups(iter(one.where(F.col("block") == turn).orderBy("space").select("space", "id", "vec").toArrow().to_batches()), ["space"]):
+            held[t["space"][0].as_py()] = (t["id"].combine_chunks().to_numpy(), t["vec"].combine_chunks())
+        sent = spark.sparkContext.broadcast(held)
+
+        def compare(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
+            ready: dict[str, np.ndarray] = {}
+            for batch in batches:
+                names = np.array(batch.column("space").to_pylist(), dtype=object)
+                for s in dict.fromkeys(names):
+                    if s not in sent.value:
+                        continue
+                    if s not in ready:
+                        ready[s] = _unit_rows(sent.value[s][1])
+                    ids, at = sent.value[s][0], np.flatnonzero(names == s)
+                    own, later = batch.column("id").to_numpy()[at], batch.column("block").to_numpy()[at] > turn
+                    vec = _unit_rows(batch.column("vec").take(pa.array(at)))
+                    held_back: list[tuple[np.ndarray, ...]] = []
+                    for r, c, cos in _close_pairs(vec, ready[s], threshold, None if k is None else k + 1):
+                        once = later[r] | (own[r] < ids[c])  # a pair of one block comes from its smaller id
+                        if k is not None:
+                            once = own[r] != ids[c]
+                        src, dst, cos = own[r[once]], ids[c[once]], cos[once]
+                        if k is None:
+                            src, dst = np.minimum(src, dst), np.maximum(src, dst)
+                            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(cos)], ["src", "dst", "cos"])
+                        else:
+                            back = later[r[once]]  # both rows of a pair of one block meet the other one themselves
+                            held_back += [(src, dst, cos), (dst[back], src[back], cos[back])]
+                            if len(held_back) > 1 and sum(len(x[0]) for x in held_back[1:]) > HELD + len(held_back[0][0]):
+                                held_back = [_top(*map(np.concatenate, zip(*held_back)), k)]
+                    if held_back:
+                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(*map(np.concatenate, zip(*held_back)), k)], ["src", "dst", "cos"])
+
+        found = found.unionByName(cut(one.where(F.col("block") >= turn).mapInArrow(compare, kind)))
+        sent.unpersist()
+    return found
 
 
 def nearest(df: DataFrame, k: int = 5, threshold: float = 0.80, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> DataFrame:
@@ -256,9 +222,9 @@ def nearest(df: DataFrame, k: int = 5, threshold: float = 0.80, id_col: str = "i
     (null, empty, non-finite, all zero, null model) give no row; an empty table
     gives an empty result.
     """
-    perms = permuted(df, id_col, vec_col, model_col)
-    near = similar_units(perms, threshold, k).select(F.col("src").alias("unit"), F.col("dst").alias("other"), "cos")
-    same = copies(perms)
+    usable = prepared(df, id_col, vec_col, model_col)
+    near = similar_units(usable, threshold, k).select(F.col("src").alias("unit"), F.col("dst").alias("other"), "cos")
+    same = copies(usable)
     by_id = Window.partitionBy("unit").orderBy("id")
     few = cut(same.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1).select("unit", "id"))
     more = few.where("id > unit")

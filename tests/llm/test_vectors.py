@@ -120,3 +120,17 @@ def test_empty_tables(spark):
     assert vectors.nearest(df).count() == 0 and clusters.closed_pairs(df).count() == 0 and clusters.clusters(df).count() == 0
     nulls = spark.createDataFrame([(1, None, None, None, None), (None, None, "m", None, None)], KIND)
     assert vectors.nearest(nulls).count() == 0
+
+
+def test_neighbours_in_one_hot_group_are_all_found(spark):
+    rnd = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    hot = unit(rnd.normal(size=64)) * 0.85**0.5 + unit(rnd.normal(size=(2000, 64))) * 0.15**0.5
+    v = np.concatenate([hot, rnd.normal(size=(4000, 64))]).astype("float32")
+    df = spark.createDataFrame([(i, x.tolist(), "m") for i, x in enumerate(v)], "id long, embedding array<float>, embedding_model string")
+    u = unit(v.astype(float))
+    cos = (u @ u.T).round(9)
+    np.fill_diagonal(cos, -1)
+    want = {(min(i, int(j)), max(i, int(j))) for i in range(len(v)) for j in np.lexsort((np.arange(len(v)), -cos[i]))[:5] if cos[i, j] >= 0.8}
+    got = {(r["id_a"], r["id_b"]) for r in vectors.nearest_pairs(vectors.nearest(df)).collect()}
+    assert got == want and len(want) > 5000
