@@ -1,12 +1,10 @@
 """Clusters of mutually similar records: reciprocal-nearest-neighbour average linkage.
 
-The sparse graph holds the pairs at the threshold or more that the permutation
-index finds.  Each round merges every pair of clusters that are each other's
+The sparse graph holds all pairs of distinct vectors at the threshold or more.  Each round merges every pair of clusters that are each other's
 best partner, all in parallel.  The linkage of two clusters is the average of
 the links between them; they may merge while that is at the threshold or more
 and at least COVERAGE of their pairs are linked (a pair without a link is below
-the threshold, or was missed by the index).  A missed link thus costs nothing,
-while a chain of few links does not pull two groups together.
+the threshold), so a chain of few links does not pull two groups together.
 
 Merges of one connected component of the graph never depend on another one, so
 components of up to LOCAL_LINKS links run their rounds inside one task; larger
@@ -142,32 +140,36 @@ def link(edges: DataFrame, threshold: float, coverage: float = COVERAGE) -> Data
         edges = cut(moved.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("s").alias("s"), F.sum("c").alias("c")))
 
 
-class Clustering:
-    """perms, links (src, dst, cos of distinct vectors), nodes (id, copies) and roots (node, root)."""
+class Links:
+    """usable (id, space, digest, vec), links (src, dst, cos: all pairs of distinct vectors at the threshold) and same (unit, id, n)."""
 
     def __init__(self, df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> None:
         self.threshold = threshold
         self.usable = vectors.prepared(df, id_col, vec_col, model_col)
         self.links = vectors.similar_units(self.usable, threshold)
         self.same = vectors.copies(self.usable)
-        sizes = self.same.where("id = unit").select("unit", "n")
-        na, nb = sizes.select(F.col("unit").alias("a"), F.col("n").alias("na")), sizes.select(F.col("unit").alias("b"), F.col("n").alias("nb"))
-        edges = self.links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cos").join(na, "a", "left").join(nb, "b", "left").fillna(1, ["na", "nb"])
-        c = F.col("na") * F.col("nb")
-        self.roots = linkage(edges.select("a", "b", "na", "nb", (F.col("cos") * c).alias("s"), c.cast("double").alias("c")), threshold)
 
-    def members(self) -> DataFrame:
-        """(root, unit, copies) of every distinct vector that has a link or a copy."""
+    def members(self, roots: DataFrame) -> DataFrame:
+        """(root, unit, copies) of every distinct vector that has a link or a copy; ``roots`` has node, root."""
         linked = self.links.select(F.explode(F.array("src", "dst")).alias("unit"))
         sizes = self.same.where("id = unit").select("unit", "n")
         nodes = linked.unionByName(sizes.select("unit")).distinct().join(sizes, "unit", "left")
-        return nodes.join(self.roots.select(F.col("node").alias("unit"), "root"), "unit", "left").select(F.coalesce("root", "unit").alias("root"), "unit", F.coalesce("n", F.lit(1)).alias("copies"))
+        return nodes.join(roots.select(F.col("node").alias("unit"), "root"), "unit", "left").select(F.coalesce("root", "unit").alias("root"), "unit", F.coalesce("n", F.lit(1)).alias("copies"))
 
     def rows(self, members: DataFrame) -> DataFrame:
         """(root, unit, id): the members with every copy of their vectors."""
         return members.join(self.same.select("unit", "id"), "unit", "left").select("root", "unit", F.coalesce("id", "unit").alias("id"))
 
 
+def grouped(g: Links) -> DataFrame:
+    """(node, root) of every distinct vector that the linkage merged."""
+    sizes = g.same.where("id = unit").select("unit", "n")
+    na, nb = sizes.select(F.col("unit").alias("a"), F.col("n").alias("na")), sizes.select(F.col("unit").alias("b"), F.col("n").alias("nb"))
+    edges = g.links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cos").join(na, "a", "left").join(nb, "b", "left").fillna(1, ["na", "nb"])
+    c = F.col("na") * F.col("nb")
+    return linkage(edges.select("a", "b", "na", "nb", (F.col("cos") * c).alias("s"), c.cast("double").alias("c")), g.threshold)
+
+
 def clusters(df: DataFrame, threshold: float = 0.80, typical: int = 3, label_col: str = "subject", **cols: str) -> DataFrame:
     """(cluster_id, size, typical): clusters of two records or more.
 
@@ -176,8 +178,8 @@ def clusters(df: DataFrame, threshold: float = 0.80, typical: int = 3, label_col
     ties to the smaller id, copies of one vector counted by their number.  Records
     without a usable vector, or without a partner, are in no cluster.
     """
-    c = Clustering(df, threshold, **cols)
-    members = cut(c.members())
+    c = Links(df, threshold, **cols)
+    members = cut(c.members(grouped(c)))
     at = members.select(F.col("unit").alias("src"), F.col("root").alias("rs"), F.col("copies").alias("ns"))
     to = members.select(F.col("unit").alias("dst"), F.col("root").alias("rd"), F.col("copies").alias("nd"))
     inner = c.links.join(at, "src").join(to, "dst").where("rs = rd")
@@ -197,18 +199,16 @@ def closed_pairs(df: DataFrame, threshold: float = 0.80, least: int = 3, **cols:
     """(id_a, id_b): all pairs of the clusters of ``least`` records or more that are closed.
 
     Closed: every two members at the threshold or more, and no record outside
-    reaches it with a member.  The links are all pairs at the threshold or more, so
-    counting them inside and across clusters decides both exactly.
+    reaches it with a member.  Such a cluster is a whole component of the links,
+    and since the links are all pairs at the threshold or more, counting those of
+    each component decides it exactly.
     """
-    c = Clustering(df, threshold, **cols)
-    members = cut(c.members())
-    roots = members.select("unit", "root")
-    ends = c.links.join(roots.select(F.col("unit").alias("src"), F.col("root").alias("rs")), "src").join(roots.select(F.col("unit").alias("dst"), F.col("root").alias("rd")), "dst")
-    crossing = F.col("rs") != F.col("rd")
-    open_ = ends.where(crossing).select(F.explode(F.array("rs", "rd")).alias("root")).distinct()
-    inside = ends.where(~crossing).groupBy(F.col("rs").alias("root")).agg(F.count("*").alias("links"))
+    g = Links(df, threshold, **cols)
+    linked = components(g.links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
+    members = cut(g.members(linked))
+    inside = g.links.join(linked.select(F.col("node").alias("src"), "root"), "src").groupBy("root").agg(F.count("*").alias("links"))
     size = members.groupBy("root").agg(F.sum("copies").alias("n"), F.count("*").alias("k"))
-    whole = size.where(F.col("n") >= least).join(open_, "root", "left_anti").join(inside, "root", "left").fillna(0, ["links"])
+    whole = size.where(F.col("n") >= least).join(inside, "root", "left").fillna(0, ["links"])
     closed = whole.where(F.col("links") == F.col("k") * (F.col("k") - 1) / 2).select("root")
-    rows = c.rows(members.join(closed, "root", "left_semi")).select("root", "id")
+    rows = g.rows(members.join(closed, "root", "left_semi")).select("root", "id")
     return rows.select("root", F.col("id").alias("id_a")).join(rows.select("root", F.col("id").alias("id_b")), "root").where("id_a < id_b").select("id_a", "id_b")

@@ -134,3 +134,14 @@ def test_neighbours_in_one_hot_group_are_all_found(spark):
     want = {(min(i, int(j)), max(i, int(j))) for i in range(len(v)) for j in np.lexsort((np.arange(len(v)), -cos[i]))[:5] if cos[i, j] >= 0.8}
     got = {(r["id_a"], r["id_b"]) for r in vectors.nearest_pairs(vectors.nearest(df)).collect()}
     assert got == want and len(want) > 5000
+
+
+def test_a_cluster_with_any_link_to_the_outside_is_open(spark):
+    rnd = np.random.default_rng(4)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    centre, side = unit(rnd.normal(size=(3200, 64))), rnd.normal(size=(3200, 64))
+    side = unit(side - (side * centre).sum(axis=1)[:, None] * centre)
+    outside = 0.81 * centre + (1 - 0.81**2) ** 0.5 * side  # at 0.81 to the first member
+    v = np.concatenate([centre, centre - 0.1 * side, centre - 0.2 * side, outside, np.eye(64)[:1] + [[0.0] * 63 + [0.1 * i] for i in range(3)]]).astype("float32")
+    df = spark.createDataFrame([(i, x.tolist(), "m") for i, x in enumerate(v)], "id long, embedding array<float>, embedding_model string")
+    assert {(r["id_a"], r["id_b"]) for r in clusters.closed_pairs(df).collect()} == {(12800, 12801), (12800, 12802), (12801, 12802)}
