@@ -1,8 +1,9 @@
 """Keyword-stuffed pages and link lists.
 
 A text is cut into segments (lines, then sentences; short neighbours together).
-Corpus counts over all texts give the pointwise mutual information (PMI) of
-neighbouring words, with the text's own words left out.  A segment is spam when
+Corpus counts over all different texts give the pointwise mutual information
+(PMI) of neighbouring words, with the text's own words left out; copies, and
+texts that differ in case, digits or marks only, count once.  A segment is spam when
 
 * it is a list of links or hash tags by its form,
 * collocations or words that the text repeats far beyond their corpus rate cover
@@ -108,13 +109,19 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def score_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, at, kind, chars, function, repeated, incoherent, pmi): every segment with its measures."""
-    texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where((F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("id").isNotNull())
-    parts = cut(texts.mapInPandas(_split, "id long, at int, kind string, chars int, words array<string>, own array<int>, own2 array<int>, content array<boolean>, total int, function double"))
+    texts = df.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).where((F.trim(F.coalesce("text", F.lit(""))) != "") & F.col("doc").isNotNull()).withColumn("id", F.xxhash64("text"))
+    docs = cut(texts.select("doc", "id").distinct())
+    once = texts.groupBy("id").agg(F.first("text").alias("text"))
+    parts = cut(once.mapInPandas(_split, "id long, at int, kind string, chars int, words array<string>, own array<int>, own2 array<int>, content array<boolean>, total int, function double"))
+    letters = F.trim(F.regexp_replace(F.lower("text"), r"[^\p{L}]+", " "))
+    alike = F.when(letters == "", F.col("id")).otherwise(F.xxhash64(letters))
+    counted = cut(once.select("id", alike.alias("alike")).groupBy("alike").agg(F.min("id").alias("id")).select("id"))
     plain = parts.where((F.col("kind") == "text") & (F.size("words") > 0))
-    single = plain.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
+    corpus = plain.join(counted, "id", "left_semi")
+    single = corpus.select(F.explode(F.transform("words", lambda w: F.xxhash64(w))).alias("w")).groupBy("w").agg(F.count("*").alias("c"))
     pair_hash = F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1)))
     doubles = plain.where(F.size("words") > 1)
-    double = doubles.select(F.explode(pair_hash).alias("p")).groupBy("p").agg(F.count("*").alias("c2"))
+    double = corpus.where(F.size("words") > 1).select(F.explode(pair_hash).alias("p")).groupBy("p").agg(F.count("*").alias("c2"))
     single, double = cut(single), cut(double)
     n1, n2 = single.agg(F.sum("c")).first()[0] or 1, double.agg(F.sum("c2")).first()[0] or 1
 
@@ -124,20 +131,21 @@ def score_segments(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - 2), lambda i: F.struct(i.alias("i"), F.get("own2", i).alias("o"), F.xxhash64(F.get("words", i), F.get("words", i + 1)).alias("p"), F.xxhash64(F.get("words", i)).alias("w1"), F.xxhash64(F.get("words", i + 1)).alias("w2"), F.get("own", i).alias("o1"), F.get("own", i + 1).alias("o2"), F.get("content", i).alias("k1"), F.get("content", i + 1).alias("k2")))).alias("x"),
     ).select("id", "at", "total", "loose", "x.*")
     frequent = (F.col("o") >= MIN_REPEATS) & (F.col("o") > F.lit(PAIR_RATE) * F.col("total"))
-    asked = cut(asked.where(frequent | F.col("loose")).join(double, "p").drop("p"))
+    asked = cut(asked.where(frequent | F.col("loose")).join(double, "p", "left").drop("p").withColumn("c2", F.greatest("c2", "o")))
     lifted = F.col("o") / F.col("total") >= F.lit(LIFT / n2) * (F.col("c2") - F.col("o") + 1)
     by_pair = asked.where(frequent & lifted).select("id", "at", F.explode(F.filter(F.array(F.when(F.col("k1"), F.col("i")), F.when(F.col("k2"), F.col("i") + 1)), lambda i: i.isNotNull())).alias("i"))
     words = plain.select("id", "at", "total", F.explode(F.transform("words", lambda w, i: F.struct(i.alias("i"), F.get("own", i).alias("o"), F.get("content", i).alias("k"), F.xxhash64(w).alias("w")))).alias("x")).select("id", "at", "total", "x.*")
-    often = words.where(F.col("k") & (F.col("o") >= MIN_REPEATS) & (F.col("o") >= F.lit(WORD_RATE) * F.col("total"))).join(single, "w")
+    often = words.where(F.col("k") & (F.col("o") >= MIN_REPEATS) & (F.col("o") >= F.lit(WORD_RATE) * F.col("total"))).join(single, "w", "left").withColumn("c", F.greatest("c", "o"))
     by_word = often.where(F.col("o") / F.col("total") >= F.lit(LIFT / n1) * (F.col("c") - F.col("o") + 1)).select("id", "at", "i")
     covered = by_pair.unionByName(by_word).groupBy("id", "at").agg(F.count_distinct("i").alias("covered"))
 
     s1, s2 = single.select(F.col("w").alias("w1"), F.col("c").alias("c1")), single.select(F.col("w").alias("w2"), F.col("c").alias("cc"))
     alone = F.col("c2") <= F.col("o")  # no other text has these neighbours
     pmi = F.when(alone, F.lit(-3.0)).otherwise(F.greatest(F.lit(-3.0), F.log2((F.col("c2") - F.col("o") + 0.05) * F.lit(float(n1)) / ((F.col("c1") - F.col("o1") + 1) * (F.col("cc") - F.col("o2") + 1)))))
-    salad = asked.where("loose").join(s1, "w1").join(s2, "w2").groupBy("id", "at").agg(F.avg(pmi).alias("pmi"), F.avg((pmi < INCOHERENT_PMI).cast("double")).alias("incoherent"))
+    salad = asked.where("loose").join(s1, "w1", "left").join(s2, "w2", "left").withColumns({"c1": F.greatest("c1", "o1"), "cc": F.greatest("cc", "o2")}).groupBy("id", "at").agg(F.avg(pmi).alias("pmi"), F.avg((pmi < INCOHERENT_PMI).cast("double")).alias("incoherent"))
     measured = parts.select("id", "at", "kind", "chars", "function", F.size("words").alias("n")).join(covered, ["id", "at"], "left").join(salad, ["id", "at"], "left")
-    return measured.withColumn("repeated", F.coalesce(F.col("covered") / (F.col("n") * (1 - F.col("function"))), F.lit(0.0)))
+    measured = measured.withColumn("repeated", F.coalesce(F.col("covered") / (F.col("n") * (1 - F.col("function"))), F.lit(0.0)))
+    return docs.join(measured, "id").drop("id").withColumnRenamed("doc", "id")
 
 
 def spam_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -140,3 +140,11 @@ def test_spam(spark):
     got = [r["doc_id"] for r in spam.spam_texts(df).collect()]
     assert sorted(got) == sorted(cases)
     assert spam.spam_texts(df.limit(0)).count() == 0
+
+
+def test_copies_of_a_stuffed_page_stay_spam(spark):
+    page = "Our Velgate dentist is the best Velgate dentist for Velgate dentist buyers. Find the Velgate dentist, buy Velgate dentist, Velgate dentist online and more Velgate dentist. " * 4
+    prose = [" ".join(f"The {a} of the {b} was not in the {c} when we came to it." for a, b, c in zip(NOUNS[k:] * 2, NOUNS[k + 3 :] * 2, NOUNS[k + 7 :] * 2)) for k in range(12)]
+    rows = [(i, page if i % 2 else page.upper() + f" {i}") for i in range(40)] + [(100 + i, t) for i, t in enumerate(prose)]
+    got = {r["doc_id"] for r in spam.spam_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == set(range(40))
