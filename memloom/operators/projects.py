@@ -28,12 +28,22 @@ def resolved(rows: DataFrame, projects: DataFrame, aliases: DataFrame, column: s
     return r.withColumn(out, F.coalesce("_a", "_b", "_c")).drop("_slug", "_a", "_b", "_c")
 
 
+def _may_reach(a: Column, b: Column, ratio: float) -> Column:
+    """Whether the sequence ratio can be ``ratio`` or more: twice the letters in common, over both lengths, bounds it from above."""
+    both = F.length(a) + F.length(b)
+    count = lambda x, c: F.length(x) - F.length(F.replace(x, c, F.lit("")))
+    common = F.aggregate(F.array_distinct(F.split(a, "")), F.lit(0), lambda n, c: n + F.least(count(a, c), count(b, c)))
+    return F.when(2 * F.least(F.length(a), F.length(b)) < F.lit(ratio - 1e-9) * both, F.lit(False)).otherwise(2 * common >= F.lit(ratio - 1e-9) * both)
+
+
 def ensured(projects: DataFrame, names: DataFrame, aliases: DataFrame, as_of: Column, column: str = "project", ratio: float = 0.82) -> tuple[DataFrame, DataFrame]:
-    """The registry with the unknown names registered under their slugs, and (slug, near, ratio) of suspiciously close ones."""
+    """The registry with the unknown names registered under their slugs, and (slug, near, ratio) of suspiciously close ones.
+
+    Every new slug meets every registered one; length and letters in common leave out only pairs that cannot reach ``ratio``.
+    """
     open_ = resolved(names.where(F.col(column).isNotNull() & (F.trim(column) != "")), projects, aliases, column).where(F.col("canonical").isNull())
     new = latest(open_.withColumn("slug", text.project_slug(F.col(column))).select("slug", F.col(column).alias("display_name")), ["slug"], ["display_name"])
-    first = projects.select("slug").withColumn("k", F.substring("slug", 1, 1))
-    pairs = new.select("slug").withColumn("k", F.substring("slug", 1, 1)).join(_dim(first.withColumnRenamed("slug", "near")), "k").where("slug <> near")
+    pairs = new.select("slug").crossJoin(_dim(projects.select(F.col("slug").alias("near")).distinct())).where("slug <> near").where(_may_reach(F.col("slug"), F.col("near"), ratio))
     near = pairs.withColumn("ratio", text.sequence_ratio(F.col("slug"), F.col("near"))).where(F.col("ratio") >= ratio).select("slug", "near", F.round("ratio", 6).alias("ratio"))
     added = new.withColumn("notes", F.lit(None).cast("string")).withColumn("created_at", as_of)
     return projects.select("slug", "display_name", "notes", "created_at").unionByName(added.select("slug", "display_name", "notes", "created_at")), near

@@ -121,3 +121,16 @@ def test_filters_resolve_aliases_and_keep_null_origins(spark):
 def test_schema_round_trip(spark):
     df = spark.createDataFrame([], schema.MEMORIES)
     assert search.active(df, now()).count() == 0 and schema.violations(df).count() == 0
+
+
+def test_near_projects_may_start_with_another_letter(spark):
+    import difflib
+
+    from memloom.operators import projects
+
+    known, typed = ["orchard-observer", "hidden-library", "copper-bridge", "mill"], ["0rchard observer", "repo hidden library", "copper bridges", "mills", "unlike"]
+    registry = spark.createDataFrame([(k, k, None, None) for k in known], "slug string, display_name string, notes string, created_at timestamp")
+    names = spark.createDataFrame([(t,) for t in typed], "project string")
+    aliases = spark.createDataFrame([], "alias string, canonical string, created_at timestamp")
+    got = {(r["slug"], r["near"]) for r in projects.ensured(registry, names, aliases, now())[1].collect()}
+    assert got == {(s, k) for s in (t.replace(" ", "-") for t in typed) for k in known if difflib.SequenceMatcher(None, s, k).ratio() >= 0.82} and ("0rchard-observer", "orchard-observer") in got
