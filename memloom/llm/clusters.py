@@ -1,14 +1,21 @@
 """Clusters of mutually similar records: reciprocal-nearest-neighbour average linkage.
 
-The sparse graph holds all pairs of distinct vectors at the threshold or more.  Each round merges every pair of clusters that are each other's
-best partner, all in parallel.  The linkage of two clusters is the average of
-the links between them; they may merge while that is at the threshold or more
-and at least COVERAGE of their pairs are linked (a pair without a link is below
-the threshold), so a chain of few links does not pull two groups together.
-
-Merges of one connected component of the graph never depend on another one, so
-components of up to LOCAL_LINKS links run their rounds inside one task; larger
-ones run the same rounds as jobs over the whole cluster.  The results are equal.
+The sparse graph links each distinct vector with its LINKS most similar ones at the
+threshold or more, found by the permutation index.  Each round merges every pair of
+clusters that are each other's best partner among the linked ones, all in parallel.
+The linkage of two clusters is the average cosine over all pairs of their records,
+linked or not: the product of the sums of their unit vectors by the product of their
+sizes, so no pair is ever listed.  Clusters merge while it is at the threshold or more.
+
+When no linked pair is left that may merge, the clusters that may have partners the
+graph does not show (a member had more than LINKS partners) are looked up again by
+their mean vectors, and the rounds go on with the pairs found.  An average at the
+threshold needs means whose cosine reaches it, so the look-up misses none but for the
+recall of the index.
+
+Merges of one connected component never depend on another one, so components of up
+to LOCAL_NODES nodes run their rounds inside one task; larger ones run the same
+rounds as jobs over the whole cluster.  The results are equal.
 """
 
 from __future__ import annotations
@@ -21,12 +28,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from memloom.llm import vectors
-from memloom.llm.common import cut, groups
+from memloom.llm.common import cut, groups, rows_of_binary
 
-COVERAGE = 0.5
-#: Links of a component that one task may hold: 250,000 are 16 bytes each and a dense matrix of some hundred nodes in a clique.
-LOCAL_LINKS = 250_000
+LINKS = 32
+#: Nodes of a component that one task may hold: two dense matrices of 2,000 x 2,000.
 LOCAL_NODES = 2_000
+#: Rows of a cluster that one task compares with others of it.
+BLOCK = 4_096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,168 +55,307 @@ def components(edges: DataFrame) -> DataFrame:
     return roots
 
 
-def rounds(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, s: np.ndarray, c: np.ndarray, threshold: float, coverage: float) -> tuple[np.ndarray, np.ndarray]:
-    """(node, root) for one component; the same rounds as ``link``."""
-    nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
-    ia, ib = flat[: len(a)], flat[len(a) :]
-    size = np.zeros(len(nodes))
-    size[ia], size[ib] = na, nb
-    root = np.arange(len(nodes))
-    total, count = np.zeros((len(nodes),) * 2), np.zeros((len(nodes),) * 2)
-    total[ia, ib] = total[ib, ia] = s
-    count[ia, ib] = count[ib, ia] = c
-    live = np.arange(len(nodes))
+def rounds(sums: np.ndarray, size: np.ndarray, near: np.ndarray, threshold: float) -> np.ndarray:
+    """The root of every node of one component (nodes in the order of their ids); the same rounds as ``link``.
+
+    ``sums`` are the sums of the nodes' unit vectors, ``near`` says which nodes are linked.
+    """
+    total, size, near = sums @ sums.T, size.astype(np.float64), near.copy()
+    root, live = np.arange(len(size)), np.arange(len(size))
+    complete = False
     while len(live) > 1:
-        with np.errstate(divide="ignore", invalid="ignore"):
-            avg = np.where(count > 0, (total / count).round(9), -1.0)
-        avg[(avg < threshold) | (count < coverage * size[:, None] * size[None, :])] = -1.0
-        np.fill_diagonal(avg, -1.0)
-        best = avg.argmax(axis=1)
-        i = np.flatnonzero((avg.max(axis=1) >= threshold) & (best[best] == np.arange(len(best))) & (np.arange(len(best)) < best))
+        avg = (total / size[:, None] / size[None, :]).round(9)
+        np.fill_diagonal(avg, -9.0)
+        best_of = np.where(near, avg, -9.0)
+        best = best_of.argmax(axis=1)
+        here = np.arange(len(live))
+        i = np.flatnonzero((best_of.max(axis=1) >= threshold) & (best[best] == here) & (here < best))
         if not len(i):
-            break
+            if complete:
+                break
+            near, complete = avg >= threshold, True
+            continue
+        complete = False
         j = best[i]
-        total[i] += total[j]
-        total[:, i] += total[:, j]
-        count[i] += count[j]
-        count[:, i] += count[:, j]
+        for m in (total, near):
+            m[i] += m[j]
+            m[:, i] += m[:, j]
         size[i] += size[j]
-        to = np.arange(len(nodes))
+        to = np.arange(len(root))
         to[live[j]] = live[i]
         root = to[root]
         keep = np.ones(len(live), dtype=bool)
         keep[j] = False
-        total, count, size, live = total[keep][:, keep], count[keep][:, keep], size[keep], live[keep]
-    moved = root != np.arange(len(nodes))
-    return nodes[moved], nodes[root[moved]]
+        total, near, size, live = total[keep][:, keep], near[keep][:, keep], size[keep], live[keep]
+    return root
+
+
+def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, avg): the average cosine over all pairs, from the sizes na, nb and the sums sa, sb."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        width = np.array([len(x) for x in batch.column("sa").to_pylist()])
+        out = np.empty(batch.num_rows)
+        for w in np.unique(width):  # a pair lies within one space, whose vectors have one length
+            at = np.flatnonzero(width == w)
+            x, y = (rows_of_binary(batch.column(c).take(pa.array(at)), np.float64) for c in ("sa", "sb"))
+            out[at] = np.einsum("ij,ij->i", x, y)
+        avg = (out / batch.column("na").to_numpy() / batch.column("nb").to_numpy()).round(9)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(avg)], ["a", "b", "avg"])
+
+
+def _average(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(a, b, avg) of the edges (a, b), from the nodes' (node, n, sums)."""
+    both = edges.join(nodes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sums").alias("sa")), "a").join(nodes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sums").alias("sb")), "b")
+    return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_product, "a long, b long, avg double")
+
+
+def _added(rows: DataFrame) -> DataFrame:
+    """(node, space, n, sums): sizes and sums of the rows of each node added up, first within each part of the input."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, str, int, np.ndarray] | None = None
+        for b in batches:
+            out = []
+            for node, space, n, sums in zip(*[b.column(x).to_pylist() for x in ("node", "space", "n", "sums")]):
+                vec = np.frombuffer(sums, np.float64)
+                if held is not None and held[0] == node:
+                    held = (node, space, held[2] + n, held[3] + vec)
+                else:
+                    if held is not None:
+                        out.append(held)
+                    held = (node, space, n, vec)
+            if out:
+                yield batch(out)
+        if held is not None:
+            yield batch([held])
+
+    def batch(rows: list) -> pa.RecordBatch:
+        node, space, n, sums = zip(*rows)
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(space), pa.array(n, pa.int64()), pa.array([x.tobytes() for x in sums], pa.binary())], ["node", "space", "n", "sums"])
+
+    kind = "node long, space string, n long, sums binary"
+    part = rows.select("node", "space", "n", "sums").sortWithinPartitions("node").mapInArrow(add, kind)
+    return part.repartition("node").sortWithinPartitions("node").mapInArrow(add, kind)
+
+
+def _merged(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """nodes (node, space, n, sums) after the merges (node, root)."""
+    return _added(nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("node"), "space", "n", "sums"))
+
+
+def _followed(absorbed: DataFrame | None, step: DataFrame) -> DataFrame:
+    """(node, root) of all merges so far and one more step."""
+    if absorbed is None:
+        return step
+    moved = absorbed.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    return moved.unionByName(step)
+
+
+def link(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Rounds as jobs: (node, root) of every node merged into another one, and the nodes that are left.
+
+    nodes has node, space, n, sums; edges a < b.  Ties between partners go to the smaller
+    id.  The state is cut off each round; the loop ends with the first round that merges
+    nothing.
+    """
+    nodes, edges, absorbed = cut(nodes), cut(edges), None
+    while True:
+        open_ = cut(_average(edges, nodes).where(F.col("avg") >= threshold))
+        both = open_.select(F.col("a").alias("x"), F.struct("avg", (-F.col("b")).alias("y")).alias("p")).unionByName(open_.select(F.col("b").alias("x"), F.struct("avg", (-F.col("a")).alias("y")).alias("p")))
+        best = both.groupBy("x").agg((-F.max("p")["y"]).alias("y"))
+        step = best.groupBy(F.least("x", "y").alias("root"), F.greatest("x", "y").alias("node")).agg(F.count("*").alias("n")).where("n = 2").select("node", "root")
+        step = cut(step)
+        if step.isEmpty():
+            return (absorbed if absorbed is not None else step), nodes
+        absorbed = cut(_followed(absorbed, step))
+        nodes = cut(_merged(nodes, step))
+        ra, rb = step.select(F.col("node").alias("a"), F.col("root").alias("ra")), step.select(F.col("node").alias("b"), F.col("root").alias("rb"))
+        x, y = F.coalesce("ra", "a"), F.coalesce("rb", "b")
+        edges = cut(edges.join(ra, "a", "left").join(rb, "b", "left").where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
+
 
+def linkage(nodes: DataFrame, edges: DataFrame, threshold: float, local_nodes: int = LOCAL_NODES) -> DataFrame:
+    """(node, root) of every node that was merged; nodes has node, space, n, sums and open, edges a < b.
 
-def linkage(edges: DataFrame, threshold: float, coverage: float = COVERAGE, local_links: int = LOCAL_LINKS, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """(node, root) of every node that was merged; ``edges`` as for ``link``."""
+    open: the node had more partners than the edges show.
+    """
     roots = components(edges)
-    sizes = roots.groupBy("root").agg(F.count("*").alias("nodes"))
+    sizes = roots.groupBy("root").agg(F.count("*").alias("k"))
+    big = cut(sizes.where(F.col("k") > local_nodes).select("root"))
+    placed = nodes.join(roots, "node")
     tagged = edges.join(roots.select(F.col("node").alias("a"), "root"), "a")
-    big = tagged.groupBy("root").agg(F.count("*").alias("links")).join(sizes, "root").where((F.col("links") > local_links) | (F.col("nodes") > local_nodes)).select("root")
-    big = cut(big)
+    small = (
+        placed.join(big, "root", "left_anti").select("root", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "sums")
+        .unionByName(tagged.join(big, "root", "left_anti").select("root", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sums")))
+    )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["root"]):
-            node, root = rounds(*[t[x].combine_chunks().to_numpy() for x in ("a", "b", "na", "nb", "s", "c")], threshold, coverage)
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(root)], ["node", "root"])
+            border = int(np.searchsorted(t["kind"].combine_chunks().to_numpy(), 1))
+            own, links = t.slice(0, border), t.slice(border)
+            ids = own["a"].combine_chunks().to_numpy()  # in order
+            near = np.zeros((border, border), dtype=bool)
+            i, j = np.searchsorted(ids, links["a"].combine_chunks().to_numpy()), np.searchsorted(ids, links["b"].combine_chunks().to_numpy())
+            near[i, j] = near[j, i] = True
+            root = rounds(rows_of_binary(own["sums"].combine_chunks(), np.float64), own["n"].combine_chunks().to_numpy(), near, threshold)
+            moved = root != np.arange(border)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["node", "root"])
+
+    done = cut(small.repartition("root").sortWithinPartitions("root", "kind", "a").mapInArrow(solve, "node long, root long"))
+    if not big.isEmpty():
+        mine = placed.join(big, "root", "left_semi").select("node", "space", "n", "sums")
+        far, _ = link(mine, tagged.join(big, "root", "left_semi").select("a", "b"), threshold)
+        done = cut(done.unionByName(far))
+    # What the graph cannot show: pairs of clusters that both had a member with more partners than its links.
+    hidden = nodes.join(done, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.max("open").alias("open")).where("open").select("node")
+    while not hidden.isEmpty():
+        left = cut(_merged(nodes.select("node", "space", "n", "sums"), done).join(hidden, "node", "left_semi"))
+        again = _similar_means(left, threshold)
+        step, _ = link(left, again, threshold)
+        if step.isEmpty():
+            break
+        done = cut(_followed(done, step))
+        hidden = cut(hidden.join(step.select("node"), "node", "left_anti"))
+    return done
 
-    small = tagged.join(big, "root", "left_anti")
-    local = small.repartition("root").sortWithinPartitions("root").mapInArrow(solve, "node long, root long")
-    if big.isEmpty():
-        return cut(local)
-    return cut(local.unionByName(link(tagged.join(big, "root", "left_semi").drop("root"), threshold, coverage)))
 
+def _similar_means(nodes: DataFrame, threshold: float) -> DataFrame:
+    """(a, b): the LINKS nearest clusters of each by the cosine of their means, at the threshold or more."""
 
-def link(edges: DataFrame, threshold: float, coverage: float = COVERAGE) -> DataFrame:
-    """(node, root) of every node that was merged into another cluster; ``edges`` has a < b, na, nb, s, c.
+    def means(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            vec = [np.frombuffer(x, np.float64) / n for x, n in zip(b.column("sums").to_pylist(), b.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("space"), pa.array([v.astype(np.float32) for v in vec], pa.list_(pa.float32()))], ["id", "model", "v"])
 
-    s is the sum of the links between a and b, c their number, na and nb the sizes.
-    Ties between partners go to the smaller id.  The state is cut off each round,
-    and the loop ends with the first round that merges nothing.
-    """
-    absorbed = None
-    edges = cut(edges)
-    while True:
-        open_ = edges.withColumn("avg", F.round(F.col("s") / F.col("c"), 9)).where((F.col("avg") >= threshold) & (F.col("c") >= F.lit(coverage) * F.col("na") * F.col("nb")))
-        both = open_.select(F.col("a").alias("x"), F.struct("avg", (-F.col("b")).alias("y")).alias("p")).unionByName(open_.select(F.col("b").alias("x"), F.struct("avg", (-F.col("a")).alias("y")).alias("p")))
-        best = both.groupBy("x").agg((-F.max("p")["y"]).alias("y"))
-        pairs = best.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.count("*").alias("n")).where("n = 2").select("a", "b")
-        pairs = cut(pairs)
-        if pairs.isEmpty():
-            return absorbed if absorbed is not None else pairs.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        merged = edges.join(pairs, ["a", "b"], "left_semi")
-        roots = merged.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a").alias("root"), (F.col("na") + F.col("nb")).alias("n")), F.struct(F.col("b").alias("node"), F.col("a").alias("root"), (F.col("na") + F.col("nb")).alias("n")))).alias("r")).select("r.*")
-        step = pairs.select(F.col("b").alias("node"), F.col("a").alias("root"))
-        if absorbed is None:
-            absorbed = step
-        else:
-            absorbed = absorbed.join(step.select(F.col("node").alias("root"), F.col("root").alias("up")), "root", "left").select("node", F.coalesce("up", "root").alias("root")).unionByName(step)
-        absorbed = cut(absorbed)
-        ra = roots.select(F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("ma"))
-        rb = roots.select(F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("mb"))
-        moved = edges.join(ra, "a", "left").join(rb, "b", "left").select(
-            F.coalesce("ra", "a").alias("x"), F.coalesce("rb", "b").alias("y"), F.coalesce("ma", "na").alias("nx"), F.coalesce("mb", "nb").alias("ny"), "s", "c"
-        )
-        moved = moved.where("x <> y").select(
-            F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"),
-            F.when(F.col("x") < F.col("y"), F.col("nx")).otherwise(F.col("ny")).alias("na"), F.when(F.col("x") < F.col("y"), F.col("ny")).otherwise(F.col("nx")).alias("nb"), "s", "c",
-        )
-        edges = cut(moved.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.sum("s").alias("s"), F.sum("c").alias("c")))
+    index = vectors.prepared(nodes.mapInArrow(means, "id long, model string, v array<float>"), "id", "v", "model")
+    # Equal means are one unit of the index; single precision is met by a threshold a little lower.
+    same = vectors.copies(index)
+    near = vectors.best_links(vectors.compare_lists(vectors.units(index), threshold - 1e-5, LINKS), LINKS)
+    pairs = near.select(F.col("src").alias("x"), F.col("dst").alias("y")).unionByName(same.select(F.col("unit").alias("x"), F.col("id").alias("y")))
+    return pairs.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
 class Links:
-    """usable (id, space, digest, vec), links (src, dst, cos: all pairs of distinct vectors at the threshold) and same (unit, id, n)."""
+    """The indexed vectors and their sparse graph.
+
+    usable: (id, space, digest, vec, perm, posts).  links: (a, b), a < b.  degrees: (unit,
+    partners), the number of all distinct vectors at the threshold that the index shows.
+    same: (unit, id, n) of the copies.
+    """
 
     def __init__(self, df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> None:
         self.threshold = threshold
-        self.usable = vectors.prepared(df, id_col, vec_col, model_col)
-        self.links = vectors.similar_units(self.usable, threshold)
+        self.usable = vectors.one_vector(vectors.prepared(df, id_col, vec_col, model_col))
+        found = cut(vectors.compare_lists(vectors.units(self.usable), threshold, LINKS, degrees=True))
+        self.degrees = found.where("dst is null").groupBy(F.col("src").alias("unit")).agg(F.sum("cos").cast("long").alias("partners"))
+        self.links = cut(vectors.best_links(found, LINKS).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
         self.same = vectors.copies(self.usable)
 
-    def members(self, roots: DataFrame) -> DataFrame:
-        """(root, unit, copies) of every distinct vector that has a link or a copy; ``roots`` has node, root."""
-        linked = self.links.select(F.explode(F.array("src", "dst")).alias("unit"))
-        sizes = self.same.where("id = unit").select("unit", "n")
-        nodes = linked.unionByName(sizes.select("unit")).distinct().join(sizes, "unit", "left")
-        return nodes.join(roots.select(F.col("node").alias("unit"), "root"), "unit", "left").select(F.coalesce("root", "unit").alias("root"), "unit", F.coalesce("n", F.lit(1)).alias("copies"))
+    def units(self) -> DataFrame:
+        """(unit, space, copies, vec, perm, q) of every distinct vector."""
+        return vectors.units(self.usable).select(F.col("id").alias("unit"), "space", "copies", "vec", "perm", F.size("posts").alias("q"))
 
-    def rows(self, members: DataFrame) -> DataFrame:
-        """(root, unit, id): the members with every copy of their vectors."""
-        return members.join(self.same.select("unit", "id"), "unit", "left").select("root", "unit", F.coalesce("id", "unit").alias("id"))
+    def nodes(self) -> DataFrame:
+        """(node, space, n, sums, open) of the distinct vectors that have a partner or a copy."""
 
+        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                vec = [np.frombuffer(x, np.float32).astype(np.float64) for x in b.column("vec").to_pylist()]
+                sums = [(v / np.linalg.norm(v) * n).tobytes() for v, n in zip(vec, b.column("n").to_pylist())]
+                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("space"), b.column("n"), pa.array(sums, pa.binary()), b.column("open")], ["node", "space", "n", "sums", "open"])
 
-def grouped(g: Links) -> DataFrame:
-    """(node, root) of every distinct vector that the linkage merged."""
-    sizes = g.same.where("id = unit").select("unit", "n")
-    na, nb = sizes.select(F.col("unit").alias("a"), F.col("n").alias("na")), sizes.select(F.col("unit").alias("b"), F.col("n").alias("nb"))
-    edges = g.links.select(F.col("src").alias("a"), F.col("dst").alias("b"), "cos").join(na, "a", "left").join(nb, "b", "left").fillna(1, ["na", "nb"])
-    c = F.col("na") * F.col("nb")
-    return linkage(edges.select("a", "b", "na", "nb", (F.col("cos") * c).alias("s"), c.cast("double").alias("c")), g.threshold)
+        own = self.units().join(self.degrees, "unit", "left").where("partners > 0 or copies > 1")
+        own = own.select(F.col("unit").alias("node"), "space", F.col("copies").alias("n"), "vec", F.coalesce(F.col("partners") > LINKS, F.lit(False)).alias("open"))
+        return own.mapInArrow(weigh, "node long, space string, n long, sums binary, open boolean")
+
+    def rows(self, members: DataFrame) -> DataFrame:
+        """(root, unit, id): the members (root, unit) with every copy of their vectors."""
+        return members.select("root", "unit").join(self.same.select("unit", "id"), "unit", "left").select("root", "unit", F.coalesce("id", "unit").alias("id"))
 
 
 def clusters(df: DataFrame, threshold: float = 0.80, typical: int = 3, label_col: str = "subject", **cols: str) -> DataFrame:
     """(cluster_id, size, typical): clusters of two records or more.
 
     cluster_id is the smallest id; typical lists up to ``typical`` records as
-    (id, label), those with the highest sum of links inside the cluster first,
-    ties to the smaller id, copies of one vector counted by their number.  Records
-    without a usable vector, or without a partner, are in no cluster.
+    (id, label), those with the highest average cosine to the records of the cluster
+    first, ties to the smaller id.  Records without a usable vector, or without a
+    partner, are in no cluster; an id with several vectors takes part with one of them.
     """
-    c = Links(df, threshold, **cols)
-    members = cut(c.members(grouped(c)))
-    at = members.select(F.col("unit").alias("src"), F.col("root").alias("rs"), F.col("copies").alias("ns"))
-    to = members.select(F.col("unit").alias("dst"), F.col("root").alias("rd"), F.col("copies").alias("nd"))
-    inner = c.links.join(at, "src").join(to, "dst").where("rs = rd")
-    weight = inner.select(F.col("src").alias("unit"), (F.col("cos") * F.col("nd")).alias("w")).unionByName(inner.select(F.col("dst").alias("unit"), (F.col("cos") * F.col("ns")).alias("w"))).groupBy("unit").agg(F.sum("w").alias("w"))
-    rows = c.rows(members.where("true")).join(members.select("unit", "copies"), "unit").join(weight, "unit", "left")
-    rows = rows.select("root", "id", (F.coalesce("w", F.lit(0.0)) + F.col("copies") - 1).alias("w"))
-    size = rows.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("cluster_id")).where("size > 1")
-    order = Window.partitionBy("root").orderBy(F.desc(F.round("w", 6)), "id")
+    g = Links(df, threshold, **cols)
+    nodes = cut(g.nodes())
+    roots = linkage(nodes, g.links, threshold)
+    placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "space", "n", "sums")
+    whole = cut(_added(placed.select(F.col("root").alias("node"), "space", "n", "sums")).where("n > 1"))
+    both = placed.select("root", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sums").alias("sa")).join(whole.select(F.col("node").alias("root"), F.col("n").alias("nb"), F.col("sums").alias("sb")), "root")
+    near = both.select(F.col("root").alias("b"), "a", "na", "nb", "sa", "sb").mapInArrow(_product, "a long, b long, avg double").select(F.col("a").alias("unit"), F.col("b").alias("root"), "avg")
+    rows = g.rows(near).join(near.select("unit", "avg"), "unit").select("root", "id", "avg")
+    size = rows.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("cluster_id"))
+    order = Window.partitionBy("root").orderBy(F.desc(F.round("avg", 8)), "id")
     top = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= typical)
     id_col = cols.get("id_col", "id")
-    labels = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label"))
+    labels = df.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).alias("label")).groupBy("id").agg(F.min("label").alias("label"))
     top = top.join(labels, "id", "left").groupBy("root").agg(F.array_sort(F.collect_list(F.struct("place", "id", "label"))).alias("t"))
     return size.join(top, "root").select("cluster_id", "size", F.transform("t", lambda x: F.struct(x["id"].alias("id"), x["label"].alias("label"))).alias("typical"))
 
 
+def _in_cells(rows: DataFrame, sizes: DataFrame, by: str) -> DataFrame:
+    """rows (root, ...) with block, and one row for each cell (lo, hi) of blocks that the row takes part in; sizes has root, n."""
+    laid = rows.join(sizes.select("root", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64(by, F.lit("cell")), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
+    return laid.select(*rows.columns, "block", F.explode(cells).alias("cell")).select(*rows.columns, "block", "cell.lo", "cell.hi")
+
+
+def _checked(members: DataFrame, sizes: DataFrame, threshold: float) -> DataFrame:
+    """(root, unit, n): for each member (root, unit, vec, perm, q) how many others of its cluster the index shows it; a null unit where a pair is below the threshold."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, ["root", "lo", "hi"]):
+            root, lo, hi, q = (t[x][0].as_py() for x in ("root", "lo", "hi", "q"))
+            units, block = t["unit"].combine_chunks().to_numpy(), t["block"].combine_chunks().to_numpy()
+            vec, post = vectors.unit_rows(t["vec"].combine_chunks()), rows_of_binary(t["perm"].combine_chunks(), np.int16)[:, :q]
+            left, right = np.flatnonzero(block == lo), np.flatnonzero(block == hi)
+            seen, closed = np.zeros(len(units), dtype=np.int64), True
+            for i in range(0, len(left), vectors.TILE):
+                a = left[i : i + vectors.TILE]
+                others = (a[:, None] < right[None, :]) if lo == hi else np.ones((len(a), len(right)), dtype=bool)
+                if ((vec[a] @ vec[right].T).round(9) < threshold)[others].any():
+                    closed = False
+                    break
+                r, c = np.nonzero(others)
+                share = vectors.share_list(post[a[r]], post[right[c]], 1 << 15)
+                seen += np.bincount(a[r[share]], minlength=len(units)) + np.bincount(right[c[share]], minlength=len(units))
+            if closed:
+                yield pa.RecordBatch.from_arrays([pa.array([root] * len(units)), pa.array(units), pa.array(seen)], ["root", "unit", "n"])
+            else:
+                yield pa.RecordBatch.from_arrays([pa.array([root]), pa.nulls(1, pa.int64()), pa.array([1])], ["root", "unit", "n"])
+
+    laid = _in_cells(members.select("root", "unit", "vec", "perm", "q"), sizes, "unit")
+    return laid.repartition("root", "lo", "hi").sortWithinPartitions("root", "lo", "hi").mapInArrow(check, "root long, unit long, n long")
+
+
 def closed_pairs(df: DataFrame, threshold: float = 0.80, least: int = 3, **cols: str) -> DataFrame:
     """(id_a, id_b): all pairs of the clusters of ``least`` records or more that are closed.
 
-    Closed: every two members at the threshold or more, and no record outside
-    reaches it with a member.  Such a cluster is a whole component of the links,
-    and since the links are all pairs at the threshold or more, counting those of
-    each component decides it exactly.
+    Closed: every two members at the threshold or more, and no record outside reaches it
+    with a member.  The linkage gives such a group as one cluster, since the average of
+    any two parts of it is at the threshold or more and with anything else below.  An
+    exact check of the pairs inside follows; a member with more partners at the
+    threshold than the index shows inside has one outside.
     """
     g = Links(df, threshold, **cols)
-    linked = components(g.links.select(F.col("src").alias("a"), F.col("dst").alias("b")))
-    members = cut(g.members(linked))
-    inside = g.links.join(linked.select(F.col("node").alias("src"), "root"), "src").groupBy("root").agg(F.count("*").alias("links"))
-    size = members.groupBy("root").agg(F.sum("copies").alias("n"), F.count("*").alias("k"))
-    whole = size.where(F.col("n") >= least).join(inside, "root", "left").fillna(0, ["links"])
-    closed = whole.where(F.col("links") == F.col("k") * (F.col("k") - 1) / 2).select("root")
-    rows = g.rows(members.join(closed, "root", "left_semi")).select("root", "id")
-    return rows.select("root", F.col("id").alias("id_a")).join(rows.select("root", F.col("id").alias("id_b")), "root").where("id_a < id_b").select("id_a", "id_b")
+    roots = linkage(cut(g.nodes()), g.links, threshold)
+    units = g.units().join(g.degrees, "unit", "left").where("partners > 0 or copies > 1")
+    placed = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
+    size = placed.groupBy("root").agg(F.sum("copies").alias("records"), F.count("*").alias("n")).where(F.col("records") >= least)
+    size = cut(size)
+    inside = cut(_checked(placed.join(size.select("root"), "root", "left_semi"), size, threshold))
+    seen = inside.where("unit is not null").groupBy("root", "unit").agg(F.sum("n").alias("n"))
+    outside = seen.join(g.degrees, "unit").where(F.col("partners") > F.col("n")).select("root")
+    closed = size.join(inside.where("unit is null").select("root").unionByName(outside).distinct(), "root", "left_anti")
+    rows = cut(g.rows(seen.select("root", "unit").join(closed, "root", "left_semi")).select("root", "id"))
+    cells = _in_cells(rows, closed.select("root", F.col("records").alias("n")), "id")
+    a = cells.where(F.col("block") == F.col("lo")).select("root", "lo", "hi", F.col("id").alias("x"))
+    b = cells.where(F.col("block") == F.col("hi")).select("root", "lo", "hi", F.col("id").alias("y"))
+    return a.join(b, ["root", "lo", "hi"]).where("lo < hi or x < y").select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,21 +12,45 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the cluster names; make a temporary one only where none is named."""
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in spark.checkpoint.dir; where none is named, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="memloom-"))
+    if named is None:
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        named = held.get() if held.isDefined() else None
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="memloom-")
+        spark.sparkContext.setCheckpointDir(named)
+    return named
+
+
+def plain_unions(spark: SparkSession) -> None:
+    """Let a union claim no partitioning.
+
+    Spark 4.1 passes on the partitioning of a union's branches and drops a following
+    repartition; adaptive execution then changes the branches one by one, and rows of one
+    key end in different tasks.
+    """
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared folder and go on from there.
+
+    Unlike a checkpoint, a table that is read back has its true size, so the planner's
+    estimates do not multiply from round to round.
+    """
+    spark = df.sparkSession
+    plain_unions(spark)
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    plain_unions(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

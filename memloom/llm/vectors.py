@@ -1,11 +1,19 @@
-"""Exact search for similar vectors: every two vectors of a space are compared.
-
-The distinct vectors are dealt into blocks.  One block at a time goes to all
-rows as a broadcast, and each task compares its rows with it in tiles: a product
-in single precision leaves out what is surely below the threshold, the rest gets
-its cosine in double precision.  No pair is passed over, however the vectors are
-distributed; the work grows with the square of a space's distinct vectors, while
-memory and disk grow with the rows and the results only.
+"""Permutation index over vectors: candidate search, footrule ranking and exact re-ranking.
+
+A vector is represented by its PREFIX nearest pivots in order (its permutation)
+and posted in the inverted lists of the first of them, so two vectors meet where
+they share a list.  There the footrule distance of the two permutations decides
+which pairs are re-ranked by the exact cosine in double precision.
+
+Pivots are the only fitted part.  They come from a sample of at most
+SAMPLE x MAX_PIVOTS vectors a space and are spread over it: a vector within
+PIVOT_COSINE of a chosen one is no pivot.  A group of similar vectors, however
+many rows it has, therefore gets few pivots and meets in few lists, instead of
+being scattered over lists that its members do not share.  Every row is indexed.
+A list beyond BLOCK rows is compared block by block in separate tasks, without the
+footrule bound (it saves no work where all permutations are alike), so no list is
+ever cut off and none has to fit into one task.  Spaces below SMALL rows have one
+list: they are compared as a whole.
 """
 
 from __future__ import annotations
@@ -19,14 +27,26 @@ from pyspark.sql import functions as F
 
 from memloom.llm.common import binary_rows, cut, groups, rows_of_binary
 
-#: Rows of one broadcast block, and rows and columns of a tile.
+PREFIX = 12
+#: Lists of a row for up to 1,024 pivots; one more for every fourfold number, as neighbours share fewer of many pivots.
+POSTED = 5
+ROWS_A_PIVOT = 256
+MIN_PIVOTS = 16
+MAX_PIVOTS = 16_384
+SAMPLE = 4
+PIVOT_COSINE = 0.70
+SMALL = 1_024
+#: Largest footrule distance of a candidate, as a share of the largest possible one.
+FOOTRULE = 0.85
+#: Rows of a list that one task compares, and rows and columns of a tile.
 BLOCK = 32_768
 TILE = 512
 COLUMNS = 2_048
-#: Pairs a task collects before it keeps the best of each row.
-HELD = 500_000
 #: Error allowed for a cosine in single precision; candidates within it are decided in double precision.
 SINGLE = 1e-5
+SCALE = 1_000_000
+#: Pivots that go out at once, in bytes; more spaces than fit go out one after the other.
+PIVOT_BYTES = 64 << 20
 
 
 def _usable(rows: np.ndarray) -> np.ndarray:
@@ -42,12 +62,74 @@ def spaces(df: DataFrame, id_col: str, vec_col: str, model_col: str) -> DataFram
     )
 
 
+def posted_lists(pivots: int) -> int:
+    """How many lists a row is posted in."""
+    more = max(0, int(np.ceil(np.log(max(1, pivots) / 1_024) / np.log(4) - 1e-9)))
+    return min(POSTED + more, PREFIX, pivots)
+
+
+def spread(sample: np.ndarray, most: int, apart: float = PIVOT_COSINE) -> np.ndarray:
+    """Rows of ``sample`` (unit vectors), in their order, that lie below ``apart`` to every row taken before; at most ``most``."""
+    chosen = np.empty((0, sample.shape[1]), np.float32)
+    for at in range(0, len(sample), 256):
+        part = sample[at : at + 256]
+        part = part[(part @ chosen.T < apart).all(axis=1)] if len(chosen) else part
+        taken: list[int] = []
+        near = part @ part.T
+        for i in range(len(part)):
+            if not taken or near[i, taken].max() < apart:
+                taken.append(i)
+        chosen = np.concatenate([chosen, part[taken]])[:most]
+        if len(chosen) == most:
+            break
+    return chosen
+
+
+def choose_pivots(vectors: DataFrame, counts: dict[str, int]) -> dict[str, np.ndarray]:
+    """Pivots by space, from a sample in the order of a hash of the vector; at most SAMPLE x MAX_PIVOTS rows a space reach the driver."""
+    want = {s: min(MAX_PIVOTS, max(MIN_PIVOTS, n // ROWS_A_PIVOT)) for s, n in counts.items()}
+    shares = [(s, min(SCALE, SCALE * SAMPLE * want[s] // n + 1)) for s, n in counts.items()]
+    share = F.broadcast(vectors.sparkSession.createDataFrame(shares, "space string, share long"))  # at most a row for SMALL rows of the table
+    rank = F.pmod(F.xxhash64("vec", F.lit("pivot")), F.lit(SCALE))
+    rows = vectors.join(share, "space").where(rank < F.col("share")).select("space", rank.alias("rank"), "id", "vec").toPandas().sort_values(["rank", "id"])
+    out = {}
+    for s, p in rows.groupby("space"):
+        m = np.array(p["vec"].tolist(), dtype=np.float64)
+        m = m[_usable(m)]
+        if len(m):
+            out[s] = spread((m / np.linalg.norm(m, axis=1)[:, None]).astype(np.float32), want[s])
+    return out
+
+
 def prepared(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> DataFrame:
-    """(id, space, digest, vec) of every usable vector, cut off from its lineage.
+    """(id, space, digest, vec, perm, posts) of every usable vector, cut off from its lineage.
 
     Null, empty, non-finite and all-zero vectors give no row.
     """
     vectors = spaces(df, id_col, vec_col, model_col)
+    counts = {r["space"]: r["n"] for r in vectors.groupBy("space").agg(F.count("*").alias("n")).where(F.col("n") >= SMALL).collect()}
+    turns: list[dict[str, int]] = [{}]
+    held = 0
+    for s, n in sorted(counts.items()):
+        size = 4 * int(s.split("|", 1)[0]) * min(MAX_PIVOTS, max(MIN_PIVOTS, n // ROWS_A_PIVOT))
+        if turns[-1] and held + size > PIVOT_BYTES:
+            turns.append({})
+            held = 0
+        turns[-1][s] = n
+        held += size
+    out = None
+    for i, turn in enumerate(turns):
+        names = list(turn)
+        own = F.col("space").isin(names)
+        if i == 0:  # the small spaces, which have no pivots, go with the first turn
+            own = own | ~F.col("space").isin(list(counts)) if counts else F.lit(True)
+        rows = cut(_assigned(vectors.where(own), choose_pivots(vectors.where(F.col("space").isin(names)), turn) if turn else {}))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _assigned(vectors: DataFrame, pivots: dict[str, np.ndarray]) -> DataFrame:
+    sent = vectors.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
@@ -67,28 +149,49 @@ def prepared(df: DataFrame, id_col: str = "id", vec_col: str = "embedding", mode
                 rows, own = rows[ok], ids[at[ok]]
                 if not len(rows):
                     continue
+                p = sent.value.get(s)
+                if p is None:
+                    perm, q = np.zeros((len(rows), 1), dtype=np.int16), 1
+                else:
+                    wide = rows.astype(np.float64)
+                    near = (wide / np.linalg.norm(wide, axis=1)[:, None]).astype(np.float32) @ p.T
+                    m, q = min(PREFIX, len(p)), posted_lists(len(p))
+                    top = np.argpartition(-near, m - 1, axis=1)[:, :m] if m < len(p) else np.tile(np.arange(m), (len(near), 1))
+                    order = np.lexsort((top, -np.take_along_axis(near, top, 1)), axis=1)
+                    perm = np.take_along_axis(top, order, 1).astype(np.int16)
+                posts = pa.ListArray.from_arrays(pa.array(np.arange(len(perm) + 1, dtype=np.int32) * q), pa.array(perm[:, :q].astype(np.int32).ravel()))
                 raw = rows + np.float32(0)  # -0.0 and 0.0 are one value
                 digest = [hashlib.blake2b(r.tobytes(), digest_size=16, key=s.encode()[:64]).digest() for r in raw]
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([s] * len(own)), pa.array(digest, pa.binary()), binary_rows(raw)], ["id", "space", "digest", "vec"])
+                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array([s] * len(own)), pa.array(digest, pa.binary()), binary_rows(raw), binary_rows(perm), posts], ["id", "space", "digest", "vec", "perm", "posts"])
 
-    return cut(vectors.mapInArrow(assign, "id long, space string, digest binary, vec binary"))
+    return vectors.mapInArrow(assign, "id long, space string, digest binary, vec binary, perm binary, posts array<int>")
+
+
+def one_vector(rows: DataFrame) -> DataFrame:
+    """Rows of prepared(), one for each id; an id with several vectors keeps the one with the smallest digest."""
+    if rows.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():
+        return rows
+    kept = F.min_by(F.struct("space", "digest", "vec", "perm", "posts"), "digest").alias("r")
+    return cut(rows.groupBy("id").agg(kept).select("id", "r.*"))
 
 
 def units(rows: DataFrame) -> DataFrame:
     """One row for each distinct vector of a space: ``id`` is the smallest of its copies, ``copies`` their number."""
-    return rows.groupBy("digest").agg(F.min("id").alias("id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("vec").alias("vec"))
+    return rows.groupBy("digest").agg(
+        F.min("id").alias("id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("vec").alias("vec"), F.first("perm").alias("perm"), F.first("posts").alias("posts")
+    )
 
 
 def copies(rows: DataFrame) -> DataFrame:
-    """(unit, id) of every row whose vector occurs more than once."""
+    """(unit, id, n) of every row whose vector occurs more than once."""
     many = rows.groupBy("digest").agg(F.min("id").alias("unit"), F.count("*").alias("n")).where("n > 1")
     return rows.select("digest", "id").join(many, "digest").select("unit", "id", "n")
 
 
 def _footrule_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Sum over common pivots of the smaller weight, for every row of ``a`` and of ``b``; the search itself needs no pivots.
+    """Sum over common pivots of the smaller weight, for every row of ``a`` and of ``b``.
 
-    A pivot at place i (from 0) weighs PREFIX - i.  The footrule distance of two
+    A pivot at place i (from 0) of m weighs m - i.  The footrule distance of two
     permutations is m(m+1) minus twice this sum.
     """
     m = a.shape[1]
@@ -110,6 +213,18 @@ def _footrule_similarity(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _footrule_of(a: np.ndarray, b: np.ndarray, r: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The same for the pairs (a[r], b[c]) only."""
+    if len(r) > len(a) * len(b) // 64:
+        return _footrule_similarity(a, b)[r, c]
+    x, y = a[r], b[c]
+    m = a.shape[1]
+    out = np.zeros(len(r), dtype=np.int16)
+    for i in range(m):
+        out += ((y == x[:, i, None]) * np.minimum(m - i, np.arange(m, 0, -1, dtype=np.int16))).sum(axis=1, dtype=np.int16)
+    return out
+
+
 def _top(src: np.ndarray, dst: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((dst, -cos, src))
     src, dst, cos = src[order], dst[order], cos[order]
@@ -121,12 +236,12 @@ def _top(src: np.ndarray, dst: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.
     return src[keep], dst[keep], cos[keep]
 
 
-def _unit_rows(col: pa.Array) -> np.ndarray:
+def unit_rows(col: pa.Array) -> np.ndarray:
     vec = rows_of_binary(col, np.float32).astype(np.float64)
     return vec / np.linalg.norm(vec, axis=1)[:, None]
 
 
-def _best_columns(near: np.ndarray, hit: np.ndarray, k: int) -> np.ndarray:
+def _best(near: np.ndarray, hit: np.ndarray, k: int) -> np.ndarray:
     """Of ``hit`` what may be among the k best of its row or of its column, ties included."""
     if min(near.shape) <= k or np.count_nonzero(hit) <= 4 * k * sum(near.shape):
         return hit
@@ -135,95 +250,124 @@ def _best_columns(near: np.ndarray, hit: np.ndarray, k: int) -> np.ndarray:
     return hit & (by_row | by_column)
 
 
-def _close_pairs(a: np.ndarray, b: np.ndarray, threshold: float, k: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(row of a, row of b, cosine) at ``threshold`` or more, tile by tile; ``a`` and ``b`` hold unit rows in double precision.
+def share_list(a: np.ndarray, b: np.ndarray, below: int) -> np.ndarray:
+    """For the pairs (row of a, row of b): whether both are posted in one list numbered below ``below``."""
+    out = np.zeros(len(a), dtype=bool)
+    for i in range(a.shape[1]):
+        col = a[:, i]
+        out |= (col < below) & (b == col[:, None]).any(axis=1)
+    return out
+
+
+def _owned(post_a: np.ndarray, post_b: np.ndarray, hit: np.ndarray, this: int) -> np.ndarray:
+    """Of ``hit`` the pairs that share no list before ``this``, so that a pair comes from one list only."""
+    if this == 0 or post_a.shape[1] == 1:
+        return hit
+    if np.count_nonzero(hit) <= hit.size // 16:
+        r, c = np.nonzero(hit)
+        out = np.zeros_like(hit)
+        keep = ~share_list(post_a[r], post_b[c], this)
+        out[r[keep], c[keep]] = True
+        return out
+    common = np.intersect1d(post_a[post_a < this], post_b[post_b < this])
+    if not len(common):
+        return hit
+    ones = lambda x: (x[:, :, None] == common[None, None, :]).any(axis=1).astype(np.float32)
+    return hit & (ones(post_a) @ ones(post_b).T == 0)
+
 
-    With k, pairs that are among the k best of neither side within their tile may be missing.
+def compare_lists(indexed: DataFrame, threshold: float, k: int, degrees: bool = False) -> DataFrame:
+    """(src, dst, cos): for each row of each list its k best partners at ``threshold`` or more, both directions.
+
+    ``indexed`` has id, space, vec, perm and posts.  A pair that shares several lists
+    comes from the smallest of them.  With ``degrees`` also (src, null, n): the number
+    of all rows at the threshold or more that src shares a list with, in parts.
     """
-    sa, sb = a.astype(np.float32), b.astype(np.float32)
-    for i in range(0, len(a), TILE):
-        for j in range(0, len(b), COLUMNS):
-            near = sa[i : i + TILE] @ sb[j : j + COLUMNS].T
-            hit = near >= threshold - SINGLE
-            if not hit.any():
+    posted = indexed.select("id", "space", "vec", "perm", F.size("posts").alias("q"), F.explode("posts").alias("list"))
+    hot = posted.groupBy("space", "list").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("space", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    blocks = F.coalesce("blocks", F.lit(1))
+    # One row for BLOCK rows of the input at most, so the broadcast is small against any of its parts.
+    laid = posted.join(F.broadcast(hot), ["space", "list"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
+    cells = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("lo"), F.greatest(x, F.col("block")).alias("hi")))
+    laid = laid.select("space", "list", F.explode(cells).alias("cell"), "blocks", "block", "id", "vec", "perm", "q").select("space", "list", "cell.lo", "cell.hi", "blocks", "block", "id", "vec", "perm", "q")
+    key = ["space", "list", "lo", "hi"]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in groups(batches, key):
+            if t.num_rows < 2:
                 continue
-            if k is not None:
-                hit = _best_columns(near, hit, k)
-            r, c = np.nonzero(hit)
-            r, c = r + i, c + j
-            if len(r) > hit.size // 16:  # one product for the tile costs less than gathering its candidates
-                cos = (a[i : i + TILE] @ b[j : j + COLUMNS].T)[r - i, c - j].round(9)
-            else:
-                cos = np.einsum("ij,ij->i", a[r], b[c]).round(9)
-            keep = cos >= threshold
-            yield r[keep], c[keep], cos[keep]
-
-
-def similar_units(rows: DataFrame, threshold: float, k: int | None = None) -> DataFrame:
-    """(src, dst, cos): all pairs of distinct vectors of one space at ``threshold`` or more, cut off from their lineage.
-
-    Without k each pair comes once, src < dst.  With k both directions come, and
-    at least the best k of each row.
-    """
-    spark = rows.sparkSession
-    one = units(rows).select("space", "id", "vec")
-    number = rows.select("digest").distinct().count()
-    blocks = max(1, -(-number // BLOCK))
-    parts = max(2 * spark.sparkContext.defaultParallelism, number // 16_384)
-    one = cut(one.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")).repartition(parts, "id"))
-    kind = "src long, dst long, cos double"
-    found = spark.createDataFrame([], kind)
-    for turn in range(blocks):
-        held: dict[str, tuple[np.ndarray, pa.Array]] = {}
-        for t in groups(iter(one.where(F.col("block") == turn).orderBy("space").select("space", "id", "vec").toArrow().to_batches()), ["space"]):
-            held[t["space"][0].as_py()] = (t["id"].combine_chunks().to_numpy(), t["vec"].combine_chunks())
-        sent = spark.sparkContext.broadcast(held)
-
-        def compare(batches: Iterator[pa.RecordBatch], sent=sent, turn=turn) -> Iterator[pa.RecordBatch]:
-            ready: dict[str, np.ndarray] = {}
-            for batch in batches:
-                names = np.array(batch.column("space").to_pylist(), dtype=object)
-                for s in dict.fromkeys(names):
-                    if s not in sent.value:
+            lo, hi, this, split, q = (t[x][0].as_py() for x in ("lo", "hi", "list", "blocks", "q"))
+            ids = t["id"].combine_chunks().to_numpy()
+            order = np.argsort(ids)
+            ids = ids[order]
+            block = t["block"].combine_chunks().to_numpy()[order]
+            wide = unit_rows(t["vec"].combine_chunks())[order]
+            vec = wide.astype(np.float32)
+            perm = rows_of_binary(t["perm"].combine_chunks(), np.int16)[order]
+            post = perm[:, :q]
+            m = perm.shape[1]
+            least = m * (m + 1) * (1 - FOOTRULE) / 2
+            same = lo == hi
+            left = np.arange(len(ids)) if same else np.flatnonzero(block == lo)
+            right = left if same else np.flatnonzero(block == hi)
+            found: list[tuple[np.ndarray, ...]] = []
+            number = np.zeros(len(ids), dtype=np.int64)
+            for i in range(0, len(left), TILE):
+                a = left[i : i + TILE]
+                for j in range(i // COLUMNS * COLUMNS if same else 0, len(right), COLUMNS):
+                    b = right[j : j + COLUMNS]
+                    near = vec[a] @ vec[b].T
+                    if same:
+                        near[a[:, None] >= b[None, :]] = -2.0
+                    if degrees:
+                        hit = near >= threshold + SINGLE
+                        r, c = np.nonzero((near >= threshold - SINGLE) & ~hit)
+                        ok = np.einsum("ij,ij->i", wide[a[r]], wide[b[c]]).round(9) >= threshold
+                        hit[r[ok], c[ok]] = True
+                        if hit.any():
+                            owned = _owned(post[a], post[b], hit, this)
+                            number[a] += owned.sum(axis=1)
+                            number[b] += owned.sum(axis=0)
+                    hit = near >= threshold - SINGLE
+                    if not hit.any():
                         continue
-                    if s not in ready:
-                        ready[s] = _unit_rows(sent.value[s][1])
-                    ids, at = sent.value[s][0], np.flatnonzero(names == s)
-                    own, later = batch.column("id").to_numpy()[at], batch.column("block").to_numpy()[at] > turn
-                    vec = _unit_rows(batch.column("vec").take(pa.array(at)))
-                    held_back: list[tuple[np.ndarray, ...]] = []
-                    for r, c, cos in _close_pairs(vec, ready[s], threshold, None if k is None else k + 1):
-                        once = later[r] | (own[r] < ids[c])  # a pair of one block comes from its smaller id
-                        if k is not None:
-                            once = own[r] != ids[c]
-                        src, dst, cos = own[r[once]], ids[c[once]], cos[once]
-                        if k is None:
-                            src, dst = np.minimum(src, dst), np.maximum(src, dst)
-                            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst), pa.array(cos)], ["src", "dst", "cos"])
-                        else:
-                            back = later[r[once]]  # both rows of a pair of one block meet the other one themselves
-                            held_back += [(src, dst, cos), (dst[back], src[back], cos[back])]
-                            if len(held_back) > 1 and sum(len(x[0]) for x in held_back[1:]) > HELD + len(held_back[0][0]):
-                                held_back = [_top(*map(np.concatenate, zip(*held_back)), k)]
-                    if held_back:
-                        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(*map(np.concatenate, zip(*held_back)), k)], ["src", "dst", "cos"])
-
-        found = found.unionByName(cut(one.where(F.col("block") >= turn).mapInArrow(compare, kind)))
-        sent.unpersist()
-    return found
+                    hit = _best(near, hit, k)
+                    r, c = np.nonzero(_owned(post[a], post[b], hit, this))
+                    if split == 1 and m > 1:
+                        near_by = _footrule_of(perm[a], perm[b], r, c) >= least
+                        r, c = r[near_by], c[near_by]
+                    cos = np.einsum("ij,ij->i", wide[a[r]], wide[b[c]]).round(9)
+                    keep = cos >= threshold
+                    x, y, cos = ids[a[r[keep]]], ids[b[c[keep]]], cos[keep]
+                    found += [(x, y, cos), (y, x, cos)]
+                    if sum(len(f[0]) for f in found[1:]) > 4 * k * len(ids):
+                        found = [_top(*map(np.concatenate, zip(*found)), k)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in _top(*map(np.concatenate, zip(*found)), k)], ["src", "dst", "cos"])
+            some = np.flatnonzero(number)
+            if len(some):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(number[some].astype(np.float64))], ["src", "dst", "cos"])
+
+    return laid.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "src long, dst long, cos double")
+
+
+def best_links(found: DataFrame, k: int) -> DataFrame:
+    """(src, dst, cos): the k best of each src over all lists, ties to the smaller dst."""
+    best = Window.partitionBy("src").orderBy(F.desc("cos"), "dst")
+    return found.where("dst is not null").withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("src", "dst", "cos")
 
 
 def nearest(df: DataFrame, k: int = 5, threshold: float = 0.80, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> DataFrame:
-    """(id, neighbour, cos, place): the k most similar rows of every usable vector, at ``threshold`` or more.
+    """(id, neighbour, cos, place): the k most similar rows of every usable vector, at ``threshold`` or more, found by the index.
 
     Only vectors of one embedding_model and one length compare; cosine in double
     precision, rounded to 9 decimals; ties go to the smaller id.  Exact copies are
     searched once and expanded to at most k partners a row.  Unusable vectors
-    (null, empty, non-finite, all zero, null model) give no row; an empty table
-    gives an empty result.
+    (null, empty, non-finite, all zero, null model) give no row; an id with several
+    vectors takes part with one of them; an empty table gives an empty result.
     """
-    usable = prepared(df, id_col, vec_col, model_col)
-    near = similar_units(usable, threshold, k).select(F.col("src").alias("unit"), F.col("dst").alias("other"), "cos")
+    usable = one_vector(prepared(df, id_col, vec_col, model_col))
+    near = cut(best_links(compare_lists(units(usable), threshold, k), k).select(F.col("src").alias("unit"), F.col("dst").alias("other"), "cos"))
     same = copies(usable)
     by_id = Window.partitionBy("unit").orderBy("id")
     few = cut(same.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1).select("unit", "id"))
