@@ -15,6 +15,7 @@ def session(app: str = "memloom", cpus: int | str | None = None, **conf: str) ->
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
+        "spark.sql.unionOutputPartitioning": "false",  # see sources.state.plain_unions
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.driver.memory": "8g",
         "spark.ui.enabled": "false",
