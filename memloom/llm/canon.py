@@ -3,9 +3,10 @@
 The distinct values are normalised, then looked up in an inverted index of the
 character n-grams of all reference strings (names and their aliases).  The score
 is the weighted cosine of the n-grams, with weights from the rarity of a gram
-among the references.  The best candidates at MIN_COSINE or more then pass an
-exact check of edit distances, word by word or over the joined words, and the
-best one is accepted where it leads every other canonical value by MARGIN.
+among the references.  Candidates at MIN_COSINE or more then pass an exact check
+of edit distances, word by word or over the joined words, and the best one is
+accepted where it leads every other canonical value by MARGIN.  The FIRST nearest
+candidates are checked first; where they leave the answer open, all others are.
 """
 
 from __future__ import annotations
@@ -22,9 +23,11 @@ from pyspark.sql.types import StringType
 from memloom.llm.common import cut
 
 UNMATCHED = "unmatched"
-MIN_COSINE = 0.30
+MIN_COSINE = 0.15
 MARGIN = 0.02
-CHECKED = 8
+FIRST = 8
+#: Weight of a gram that no reference has, as a share of the weight of one that a single reference has: most come from slips.
+UNSEEN = 0.5
 WORD_EDITS = 0.45
 JOINED_EDITS = 0.20
 SHORTENED = 0.70
@@ -96,7 +99,7 @@ def match(values: DataFrame, refs: DataFrame, value_col: str) -> DataFrame:
     number = texts.count()
     grams = texts.select(F.col("norm").alias("ref"), F.explode(_grams(F.col("norm"))).alias("g"))
     weight = grams.groupBy("g").agg(F.log(F.lit(1.0 + number) / F.count("*")).alias("w"))
-    rarest = math.log(1.0 + number)
+    rarest = UNSEEN * math.log(1.0 + number)
     posted = cut(grams.join(weight, "g"))
     ref_norm = posted.groupBy("ref").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("rn"))
     mine = asked.select("norm", F.explode(_grams(F.col("norm"))).alias("g")).join(weight, "g", "left").withColumn("w", F.coalesce("w", F.lit(rarest)))
@@ -105,8 +108,7 @@ def match(values: DataFrame, refs: DataFrame, value_col: str) -> DataFrame:
     dots = mine.join(posted.select("g", "ref"), "g").groupBy("norm", "ref").agg(F.sum(F.col("w") * F.col("w")).alias("dot"))
     scored = dots.join(ref_norm, "ref").join(value_norm, "norm").select("norm", "ref", (F.col("dot") / F.col("rn") / F.col("vn")).alias("cos")).where(F.col("cos") >= MIN_COSINE)
     best = Window.partitionBy("norm").orderBy(F.desc("cos"), "ref")
-    # The rank bounds the work of the check below, not the answer: an accepted value leads all others by cosine.
-    near = scored.withColumn("place", F.row_number().over(best)).where(F.col("place") <= CHECKED)
+    scored = cut(scored.withColumn("place", F.row_number().over(best)))
     vw, rw = F.split("norm", " "), F.split("ref", " ")
     joined, whole = F.array_join(F.split("norm", " "), ""), _orders(rw)
     word = lambda a, b: F.when((F.length(a) >= 3) & b.startswith(a), F.lit(0.0)).otherwise(_edits(a, b) / F.length(b))
@@ -114,10 +116,23 @@ def match(values: DataFrame, refs: DataFrame, value_col: str) -> DataFrame:
     by_word = (F.size(vw) == F.size(rw)) & (worst(rw, vw, True) <= WORD_EDITS) & (worst(vw, rw, False) <= WORD_EDITS)
     by_whole = F.array_min(F.transform(whole, lambda o: _edits(joined, o) / F.length(o))) <= JOINED_EDITS
     short = F.exists(whole, lambda o: o.startswith(joined) & (F.length(joined) >= F.length(o) * SHORTENED))
+    # Edits are at least the difference in length, which is cheap to look at first.
+    shorter, longer = F.length(joined), F.length(F.replace("ref", F.lit(" "), F.lit("")))
+    by_whole = (F.abs(shorter - longer) <= F.lit(JOINED_EDITS + 1e-9) * longer) & by_whole
     fits = F.when(F.length("ref") <= 5, F.col("norm") == F.col("ref")).otherwise(by_word | by_whole | short)
-    good = near.where(fits).join(refs.select(F.col("norm").alias("ref"), "canonical"), "ref").groupBy("norm", "canonical").agg(F.max("cos").alias("score"))
     lead = Window.partitionBy("norm").orderBy(F.desc("score"), "canonical")
-    first = good.withColumn("place", F.row_number().over(lead)).withColumn("next", F.lead("score").over(lead)).where("place = 1")
+
+    def leaders(near: DataFrame) -> DataFrame:
+        good = near.join(refs.select(F.col("norm").alias("ref"), "canonical"), "ref").groupBy("norm", "canonical").agg(F.max("cos").alias("score"))
+        return good.withColumn("place", F.row_number().over(lead)).withColumn("next", F.lead("score").over(lead)).where("place = 1")
+
+    # What follows the FIRST candidates has a cosine of at most theirs: it changes nothing where the leader is further ahead, or is tied already.
+    early = cut(scored.where(F.col("place") <= FIRST).where(fits).select("norm", "ref", "cos"))
+    floor = scored.where(F.col("place") == FIRST).select("norm", F.col("cos").alias("floor"))
+    led = leaders(early)
+    decided = led.join(floor, "norm").where((F.col("score") - F.col("floor") >= MARGIN) | (F.col("score") - F.col("next") < MARGIN)).select("norm")
+    late = scored.where(F.col("place") > FIRST).join(decided, "norm", "left_anti").where(fits).select("norm", "ref", "cos")
+    first = leaders(early.unionByName(late))
     sure = first.where(F.col("next").isNull() | (F.col("score") - F.col("next") >= MARGIN)).select("norm", "canonical", "score")
     return normed.join(sure, "norm", "left").select("value", F.coalesce("canonical", F.lit(UNMATCHED)).alias("canonical"), "score")
 

@@ -24,7 +24,7 @@ from memloom.llm.common import cut
 
 RUN = 12
 SHINGLE = 5
-#: Rows of item shingles up to which they are broadcast (two longs each); beyond it the join shuffles.
+#: Rows up to which item shingles (one long each) or chosen prefixes (four numbers each) are broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 500_000
 
 _WORD = re.compile(r"[^\W_]+")
@@ -52,8 +52,9 @@ def _shingles(words: Column, size: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.struct(i.alias("at"), F.xxhash64(F.slice(words, i + 1, F.lit(size))).alias("s")))
 
 
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+def _small(df: DataFrame) -> DataFrame:
+    """Broadcast while its own rows are few."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -65,16 +66,19 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     long_enough = F.size(F.split("line", " ")) >= RUN
     texts = cut(_words(docs, doc_id, text_col).where(long_enough))
     sources = _words(items, item_id, text_col).where(long_enough).withColumn("w", F.split("line", " "))
-    windows = sources.select(F.col("id").alias("item"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - RUN), lambda i: F.slice("w", i + 1, F.lit(RUN)))).alias("window")).distinct()
-    parts = cut(windows.select("item", "window", F.explode(_shingles(F.col("window"), SHINGLE)).alias("p")).select("item", "window", "p.at", "p.s"))
+    windows = sources.select(F.col("id").alias("item"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - RUN), lambda i: F.slice("w", i + 1, F.lit(RUN)))).alias("words"))
+    # Items share windows; each different one has a number of its own and is searched once.
+    windows = windows.groupBy("words").agg(F.collect_set("item").alias("items")).withColumn("window", F.monotonically_increasing_id())
+    windows = cut(windows)
+    parts = cut(windows.select("window", F.explode(_shingles(F.col("words"), SHINGLE)).alias("p")).select("window", "p.at", "p.s"))
     tokens = parts.select("s").distinct()
-    number = tokens.count()
     here = texts.select("id", F.split("line", " ").alias("w")).select("id", F.explode(_shingles(F.col("w"), SHINGLE)).alias("p")).select("id", F.col("p.at").alias("place"), "p.s")
-    hits = cut(here.join(_small(tokens, number), "s"))
+    hits = cut(here.join(_small(tokens), "s"))
     held = hits.groupBy("s").agg(F.count("*").alias("texts"))
-    by = Window.partitionBy("item", "window")
+    by = Window.partitionBy("window")
     ranked = parts.join(held, "s", "left").withColumn("least", F.min(F.coalesce("texts", F.lit(0))).over(by)).withColumn("order", F.row_number().over(by.orderBy("texts", "s", "at")))
-    prefix = ranked.where("least > 0 and order = 1").select("item", "window", "at", "s")
-    places = hits.join(_small(prefix, number), "s").select("id", "item", "window", (F.col("place") - F.col("at")).alias("start")).where("start >= 0")
-    checked = places.join(texts.select("id", F.split("line", " ").alias("w")), "id").where((F.col("start") + RUN <= F.size("w")) & (F.slice("w", F.col("start") + 1, F.lit(RUN)) == F.col("window")))
+    prefix = cut(ranked.where("least > 0 and order = 1").select("window", "at", "s"))
+    places = hits.join(_small(prefix), "s").select("id", "window", (F.col("place") - F.col("at")).alias("start")).where("start >= 0")
+    there = places.join(texts.select("id", F.split("line", " ").alias("w")), "id").where(F.col("start") + RUN <= F.size("w")).select("id", "window", F.slice("w", F.col("start") + 1, F.lit(RUN)).alias("words"))
+    checked = there.join(windows, ["window", "words"]).select("id", "window", F.explode("items").alias("item"))
     return checked.groupBy(F.col("id").alias("doc_id"), F.col("item").alias("item_id")).agg(F.count_distinct("window").alias("windows"))

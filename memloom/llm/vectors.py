@@ -40,6 +40,8 @@ SMALL = 1_024
 FOOTRULE = 0.85
 #: Rows of a list that one task compares, and rows and columns of a tile.
 BLOCK = 32_768
+#: Posted rows of a task on average.
+TASK_ROWS = 65_536
 TILE = 512
 COLUMNS = 2_048
 #: Error allowed for a cosine in single precision; candidates within it are decided in double precision.
@@ -284,7 +286,8 @@ def compare_lists(indexed: DataFrame, threshold: float, k: int, degrees: bool =
     of all rows at the threshold or more that src shares a list with, in parts.
     """
     posted = indexed.select("id", "space", "vec", "perm", F.size("posts").alias("q"), F.explode("posts").alias("list"))
-    hot = posted.groupBy("space", "list").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK).select("space", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    sizes = cut(posted.groupBy("space", "list").agg(F.count("*").alias("n")))
+    hot = sizes.where(F.col("n") > BLOCK).select("space", "list", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     blocks = F.coalesce("blocks", F.lit(1))
     # One row for BLOCK rows of the input at most, so the broadcast is small against any of its parts.
     laid = posted.join(F.broadcast(hot), ["space", "list"], "left").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")).cast("int"))
@@ -348,7 +351,9 @@ def compare_lists(indexed: DataFrame, threshold: float, k: int, degrees: bool =
             if len(some):
                 yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.nulls(len(some), pa.int64()), pa.array(number[some].astype(np.float64))], ["src", "dst", "cos"])
 
-    return laid.repartition(*key).sortWithinPartitions(*key).mapInArrow(compare, "src long, dst long, cos double")
+    spark = indexed.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, (sizes.agg(F.sum("n")).first()[0] or 0) // TASK_ROWS)
+    return laid.repartition(tasks, *key).sortWithinPartitions(*key).mapInArrow(compare, "src long, dst long, cos double")
 
 
 def best_links(found: DataFrame, k: int) -> DataFrame:
