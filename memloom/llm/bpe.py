@@ -8,6 +8,10 @@ rank, the leftmost first.  Ranks are a literal of the plan: an array of small
 maps, found by a hash of the byte string, so that a look-up costs the same for
 any size of vocabulary.  Byte strings are written in hexadecimal.
 
+Words beyond LONG bytes (runs of blanks, text without blanks, encoded data) would make
+that fold quadratic; they are encoded by the same merges with a heap of pairs in an
+Arrow function, in n log n steps.
+
 The HEAD most frequent short words go back into the texts as such a literal too
 (bounded in number and length); all rarer or longer words go through a join.
 No word is left out and no text is shortened.
@@ -16,10 +20,13 @@ No word is left out and no text is shortened.
 from __future__ import annotations
 
 import base64
+import heapq
 import json
 import os
 import zlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +37,7 @@ PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+
 TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 HEAD = 32_768
 HEAD_CHARS = 48
+LONG = 128
 BUCKETS = 8_192
 NONE = 2_147_483_647
 
@@ -98,6 +106,45 @@ def encode_word(word: Column, ranks: Column) -> Column:
     return _let(hexed, fold)
 
 
+def _merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """ids of one word: the pair of the lowest rank first, of equal ones the leftmost, by a heap over linked pieces."""
+    n = len(word)
+    end, before, after = [i + 1 for i in range(n)], list(range(-1, n - 1)), list(range(1, n + 1))
+    heap: list[tuple[int, int, int]] = []
+
+    def offer(i: int) -> None:
+        j = after[i] if i >= 0 else n
+        if j < n and (r := ranks.get(word[i : end[j]])) is not None:
+            heapq.heappush(heap, (r, i, end[j]))
+
+    for i in range(n - 1):
+        offer(i)
+    live = [True] * n
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        j = after[i]
+        if not live[i] or j >= n or end[j] != stop:
+            continue  # one of the two pieces has changed since
+        live[j], end[i], after[i] = False, stop, after[j]
+        if after[j] < n:
+            before[after[j]] = i
+        offer(i)
+        offer(before[i])
+    return [ranks[word[i : end[i]]] for i in range(n) if live[i]]
+
+
+def _long_words(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
+    """(word, n, ids) of the words (word, n) by the heap."""
+    sent = words.sparkSession.sparkContext.broadcast({bytes.fromhex(k): v for k, v in ranks.items()})
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ids = [_merge_long(w.encode(), sent.value) for w in b.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("word"), b.column("n"), pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+
+    return words.mapInArrow(merge, "word string, n long, ids array<int>")
+
+
 def encode(df: DataFrame, ranks: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): token ids of every text, without special tokens, exactly as stored.
 
@@ -106,9 +153,11 @@ def encode(df: DataFrame, ranks: dict[str, int], id_col: str = "doc_id", text_co
     gives an empty result, other columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    docs = df.select(F.col(id_col).alias("id"), F.xxhash64(text, F.lit("text")).alias("h"), pretokens(text).alias("w"))
-    distinct = docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    table = cut(distinct.select("word", "n", encode_word(F.col("word"), _literal(ranks, "int")).alias("ids")))
+    docs = cut(df.select(F.col(id_col).alias("id"), F.xxhash64(text, F.lit("text")).alias("h"), pretokens(text).alias("w")))
+    distinct = cut(docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
+    size = F.octet_length("word")
+    short = distinct.where(size <= LONG).select("word", "n", encode_word(F.col("word"), _literal(ranks, "int")).alias("ids"))
+    table = cut(short.unionByName(_long_words(distinct.where(size > LONG).select("word", "n"), ranks)))
     frequent = table.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD)
     head = _literal({r["word"]: r["ids"] for r in frequent.select("word", "ids").collect()}, "array<int>")
     known = docs.withColumn("ids", F.transform("w", lambda x: _find(head, x)))

@@ -2,17 +2,20 @@
 
 Addresses, e-mail, phone and identity numbers have forms; they are found by
 patterns.  Names have none, so they are found by what the corpus discloses: how
-strongly a term co-occurs with protected entities.  The local parts of all
-e-mail addresses of the corpus name the protected persons.  A term that also
-occurs there is disclosing; the pointwise mutual information of its beginning
-and its ending with that class, against all other terms, says how disclosing a
-term is that occurs in no address.  Terms beyond the threshold, in the shape of
-a name (given name and surname, title or initial and surname), are removed and
-leave a placeholder; the rest of the text stays as it is.
-
-All counts cover all rows.  The model is fitted on at most MAX_TERMS terms of a
-class, taken in the order of a hash; the lists that go to the tasks are bounded
-by MAX_TERMS and MAX_COMMON.
+strongly a term co-occurs with protected entities.  A protected entity shows in the
+local part of an e-mail address or straight after a title; a term is revealed each
+time it stands there.  A term whose rate of reveals lies above that of all words
+(positive pointwise mutual information) is disclosing.  One with none, where the rate
+of the disclosing terms lets ABSENT_EXPECTED or more be expected, discloses nobody, nor
+does one that is written in lower case more often than not.  For all other terms the
+information of their beginning and ending about the two classes decides.  Terms beyond
+the threshold, in the shape of a name (given name and surname, title or initial and
+surname), are removed and leave a placeholder; the rest of the text stays as it is.
+
+All counts cover all rows, and every decision on a term rests on rates.  The letters'
+weights are fitted on at most MAX_TERMS terms of a class, taken in the order of a hash.
+What is known of single terms goes to the tasks as a broadcast of up to MAX_FACTS
+terms; beyond that it is joined to the texts that hold them, with the same result.
 """
 
 from __future__ import annotations
@@ -32,15 +35,18 @@ from pyspark.sql.types import StringType
 from memloom.llm.common import cut
 
 MAX_TERMS = 32_768
-MAX_COMMON = 16_384
+MAX_FACTS = 500_000
 TERM_SCORE = 0.0
 NAME_SCORE = 8.4
 LOWER_SCORE = 9.0
 SURNAME_SCORE = 2.0
 SEEN_BONUS = 3.0
-#: A term that often occurs, but in no address, discloses nobody.
-ABSENT_COUNT = 12
+#: Reveals to expect of a term before it counts that there are none: the chance of that is below 5 %.
+ABSENT_EXPECTED = 3.0
 ABSENT_MALUS = 6.0
+#: Standard errors by which lower case must outweigh for a common word.
+COMMON_ERRORS = 1.7
+COMMON, SEEN, ABSENT = 1, 2, 3
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 
 #: Forms of the entities (fixed values).
@@ -93,6 +99,7 @@ _STREET_FIRST = re.compile(
     r"|\b(?:Calle|C/|Avenida|Avda\.?|Plaza|Paseo|Camino|Ronda|calle|avenida)\s+(?:de\s+la\s+|de\s+los\s+|del\s+|de\s+)?[A-ZÁÉÍÓÚÑ][\w'’\-]*(?:\s+[A-ZÁÉÍÓÚÑ][\w'’\-]*)?,?\s*(?:n\.?\s?º|nº|núm\.?)?\s*\d{1,4}\b"
 )
 _TITLES = frozenset("dr mr mrs ms mx miss prof professor herr frau mme mlle madame monsieur sr sra señor señora don doña sir lady".split())
+_AFTER_TITLE = re.compile(r"\b(?:Dr|Mr|Mrs|Ms|Prof|Herrn?|Frau|Mme|Mlle|Madame|Monsieur|Sra|Señora?)\.?\s+(?:[A-ZÀ-Þ]\.\s*)*([A-ZÀ-Þ][^\W\d_]+)(?:[ \-]([A-ZÀ-Þ][^\W\d_]+))?")
 _PARTICLES = frozenset("van von de der den da di del la le du dos".split())
 _TOKEN = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*\.?")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -115,16 +122,25 @@ def _maybe_email(text: str) -> bool:
 
 
 def _emails(text: str) -> Iterator[re.Match[str]]:
-    """Matches of the address form, looked for around what hints at one."""
+    """Matches of the address form, looked for around what hints at one; a match that fills its surroundings widens them."""
     done = 0
     for hint in _EMAIL_HINT.finditer(text):
-        start = max(done, hint.start() - _EMAIL_REACH)
-        while 0 < start < hint.start() and not text[start - 1].isspace():
-            start += 1
-        for m in _EMAIL.finditer(text, start, min(len(text), hint.end() + _EMAIL_REACH)):
-            if m.start() >= done:
-                done = m.end()
-                yield m
+        if hint.end() <= done:
+            continue
+        reach = _EMAIL_REACH
+        while True:
+            start, end = max(done, hint.start() - reach), min(len(text), hint.end() + reach)
+            while start > done and not text[start - 1].isspace():
+                start -= 1
+            while end < len(text) and not text[end].isspace():
+                end += 1
+            found = list(_EMAIL.finditer(text, start, end))
+            if not found or not (found[0].start() == start > done or found[-1].end() == end < len(text)) or (start == done and end == len(text)):
+                break
+            reach *= 4
+        for m in found:
+            done = m.end()
+            yield m
 
 
 def _local_terms(text: str) -> Iterator[str]:
@@ -141,7 +157,7 @@ def _local_terms(text: str) -> Iterator[str]:
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(term, low, cap, local): occurrences in lower case, otherwise, and in local parts of addresses."""
+    """(term, low, cap, shown): occurrences in lower case, otherwise, and as part of a protected entity."""
     words: Counter[str] = Counter()
     local: Counter[str] = Counter()
 
@@ -153,11 +169,12 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows.setdefault(w, [0, 0, 0])[2] += n
         words.clear()
         local.clear()
-        return pd.DataFrame([(k, *v) for k, v in rows.items()], columns=["term", "low", "cap", "local"])
+        return pd.DataFrame([(k, *v) for k, v in rows.items()], columns=["term", "low", "cap", "shown"])
 
     for pdf in batches:
         for text in pdf["text"]:
             local.update(_local_terms(text))
+            local.update(fold(w) for m in _AFTER_TITLE.finditer(text) for w in m.groups() if w and len(w) > 2)
             words.update(w for w in _WORD.findall(_EMAIL.sub(" ", text) if _maybe_email(text) else text) if len(w) > 2)
         if len(words) > 200_000:
             yield flush()
@@ -166,12 +183,10 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 @dataclass
 class Disclosure:
-    """What the corpus discloses about names; every part is bounded."""
+    """What the corpus discloses about names: weights of letters, and what is known of single terms."""
 
-    common: frozenset[str]
-    seen: frozenset[str]
-    absent: frozenset[str]
     weights: dict[str, float]
+    facts: dict[str, int]
     cache: dict[str, float] = field(default_factory=dict, repr=False)
 
     def term(self, word: str) -> float:
@@ -184,30 +199,77 @@ class Disclosure:
         return known
 
     def _one(self, w: str) -> float:
-        if w in self.common or len(w) < 3:
+        fact = self.facts.get(w, 0)
+        if fact == COMMON or len(w) < 3:
             return -9.0
-        return sum(self.weights.get(f, 0.0) for f in features(w)) + (SEEN_BONUS if w in self.seen else 0.0) - (ABSENT_MALUS if w in self.absent else 0.0)
+        return sum(self.weights.get(f, 0.0) for f in features(w)) + (SEEN_BONUS if fact == SEEN else -ABSENT_MALUS if fact == ABSENT else 0.0)
 
 
 def features(w: str) -> tuple[str, ...]:
     return ("^" + w[:2], "^" + w[:3], "^" + w[:4], w[-2:] + "$", w[-3:] + "$", w[-4:] + "$")
 
 
-def learn(texts: DataFrame) -> Disclosure:
-    """Fit on (text) of all rows; an empty corpus gives a model that finds no name."""
-    terms = cut(texts.mapInPandas(_count, "term string, low long, cap long, local long").groupBy("term").agg(F.sum("low").alias("low"), F.sum("cap").alias("cap"), F.sum("local").alias("local")))
+def learn(texts: DataFrame) -> tuple[dict[str, float], DataFrame]:
+    """The weights of letters and (term, fact), fitted on (text) of all rows; an empty corpus gives a model that finds no name."""
+    terms = cut(texts.mapInPandas(_count, "term string, low long, cap long, shown long").groupBy("term").agg(F.sum("low").alias("low"), F.sum("cap").alias("cap"), F.sum("shown").alias("shown")))
+    total = F.col("low") + F.col("cap")
+    usual = F.col("low") - F.col("cap") >= F.lit(COMMON_ERRORS) * F.sqrt(total)
+    sums = terms.agg(F.sum("shown").alias("s"), F.sum(total).alias("n"), F.sum(F.when(~usual & (F.col("shown") > 0), F.col("shown"))).alias("gs"), F.sum(F.when(~usual & (F.col("shown") > 0), F.col("cap"))).alias("gc")).first()
+    rate, expected = (sums["s"] or 0) / max(1, sums["n"] or 0), (sums["gs"] or 0) / max(1, sums["gc"] or 0)
+    shown = (F.col("shown") > 0) & (F.col("shown") >= F.lit(rate) * total)
+    fact = F.when(usual & ~shown, COMMON).when(shown & ~usual, SEEN).when((F.col("shown") == 0) & (F.col("cap") * F.lit(expected) >= ABSENT_EXPECTED), ABSENT)
+    known = cut(terms.select("term", "low", "cap", "shown", fact.alias("fact")))
     by_hash = F.xxhash64("term", F.lit("pii"))
-    common = (F.col("low") >= 3) & (F.col("low") > F.col("cap"))
-    words = [r["term"] for r in terms.where(common & (F.col("local") == 0)).orderBy(F.desc("low"), "term").limit(MAX_COMMON).select("term").collect()]
-    body = terms.where(~common & (F.col("cap") > 0))
-    good = [r["term"] for r in body.where("local > 0").orderBy(by_hash).limit(MAX_TERMS).select("term").collect()]
-    seen = [r["term"] for r in body.where("local > 0").orderBy(F.desc("local"), "term").limit(MAX_TERMS).select("term").collect()]
-    absent = [r["term"] for r in terms.where(f"local = 0 and cap >= {ABSENT_COUNT}").orderBy(F.desc("cap"), "term").limit(MAX_TERMS).select("term").collect()]
-    other = [r["term"] for r in terms.where("local = 0 and length(term) > 2").orderBy(by_hash).limit(MAX_TERMS).select("term").collect()]
+    pick = lambda df: [r["term"] for r in df.orderBy(by_hash, "term").limit(MAX_TERMS).select("term").collect()]
+    good, other = pick(known.where(F.col("fact") == SEEN)), pick(known.where("shown = 0 and length(term) > 2"))
     pos, neg = Counter(f for t in good for f in features(t)), Counter(f for t in other for f in features(t))
-    rate = lambda c, n: (c + 0.5) / (n + 1.0)
-    weights = {f: math.log(rate(pos[f], len(good)) / rate(neg[f], len(other))) for f in pos.keys() | neg.keys()} if good else {}
-    return Disclosure(frozenset(words), frozenset(seen), frozenset(absent), weights)
+    share = lambda c, n: (c + 0.5) / (n + 1.0)
+    weights = {f: math.log(share(pos[f], len(good)) / share(neg[f], len(other))) for f in pos.keys() | neg.keys()} if good else {}
+    return weights, known.where("fact is not null").select("term", "fact")
+
+
+def _terms(text: str) -> set[str]:
+    """The terms of a text that the model may be asked for."""
+    return {p for w in _TOKEN.findall(text) for p in _JOINT.split(fold(w.rstrip("."))) if len(p) > 2}
+
+
+class _Model:
+    """Finds entities in the tasks, with the facts of a broadcast or those that came with the text."""
+
+    def __init__(self, texts: DataFrame) -> None:
+        self.weights, facts = learn(texts)
+        few = facts.limit(MAX_FACTS + 1).count() <= MAX_FACTS
+        self.held = {r["term"]: r["fact"] for r in facts.collect()} if few else {}
+        self.facts = None if few else facts
+        self.sent = texts.sparkSession.sparkContext.broadcast((self.weights, self.held))
+
+    def with_facts(self, rows: DataFrame, text: str) -> DataFrame:
+        """rows with ``facts``: what is known of the terms of a text, null where the broadcast holds it."""
+        if self.facts is None:
+            return rows.withColumn("facts", F.lit(None).cast("map<string,int>"))
+
+        def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = [(h, t) for h, x in zip(pdf["digest"], pdf["text"]) for t in _terms(x)]
+                yield pd.DataFrame(out, columns=["digest", "term"])
+
+        digest = F.sha2(F.col(text), 256)
+        once = rows.where(F.col(text).isNotNull()).select(digest.alias("digest"), F.col(text).alias("text")).dropDuplicates(["digest"])
+        own = once.mapInPandas(split, "digest string, term string").join(self.facts, "term").groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("term", "fact"))).alias("facts"))
+        return rows.withColumn("digest", digest).join(own, "digest", "left").drop("digest").withColumn("facts", F.coalesce("facts", F.create_map().cast("map<string,int>")))
+
+    def reader(self):
+        """A function (text, facts) -> entities for use in a task."""
+        sent, model = self.sent, []
+
+        def read(text: str | None, facts: dict[str, int] | list | None) -> list[tuple[int, int, str]]:
+            if not model:
+                model.append(Disclosure(*sent.value))
+            if facts is None or isinstance(facts, float):
+                return find(text, model[0])
+            return find(text, Disclosure(model[0].weights, dict(facts)))
+
+        return read
 
 
 def _names(text: str, blocked: list[tuple[int, int]], model: Disclosure) -> Iterator[tuple[int, int]]:
@@ -299,29 +361,34 @@ def found_kinds(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("b
     gives an empty result.
     """
     texts = _fields(df, id_col, fields)
-    model = df.sparkSession.sparkContext.broadcast(learn(texts.select("text")))
+    model = _Model(texts.select("text"))
+    read = model.reader()
 
     def detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(i, f, k) for i, f, t in zip(pdf["id"], pdf["field"], pdf["text"]) for k in dict.fromkeys(x[2] for x in find(t, model.value))]
+            rows = [(i, f, k) for i, f, t, x in zip(pdf["id"], pdf["field"], pdf["text"], pdf["facts"]) for k in dict.fromkeys(e[2] for e in read(t, x))]
             yield pd.DataFrame(rows, columns=["id", "field", "kind"])
 
-    return texts.mapInPandas(detect, "id long, field string, kind string").distinct()
+    return model.with_facts(texts, "text").mapInPandas(detect, "id long, field string, kind string").distinct()
 
 
 def redact(df: DataFrame, id_col: str = "id", fields: tuple[str, ...] = ("body", "person")) -> DataFrame:
     """(id, *fields): the fields with a typed placeholder for every entity, everything else as stored; null stays null."""
-    model = df.sparkSession.sparkContext.broadcast(learn(_fields(df, id_col, fields).select("text")))
+    model = _Model(_fields(df, id_col, fields).select("text"))
+    read = model.reader()
 
-    def clean(text: str) -> str:
+    def clean(text: str, facts: dict[str, int] | list | None) -> str:
         out, at = [], 0
-        for s, e, kind in find(text, model.value):
+        for s, e, kind in read(text, facts):
             out += [text[at:s], PLACEHOLDER[kind]]
             at = e
         return "".join([*out, text[at:]])
 
     @F.pandas_udf(StringType())
-    def cleaned(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: clean(t) if isinstance(t, str) else None)
+    def cleaned(texts: pd.Series, facts: pd.Series) -> pd.Series:
+        return pd.Series([clean(t, x) if isinstance(t, str) else None for t, x in zip(texts, facts)], dtype=object)
 
-    return df.select(id_col, *[cleaned(F.col(f)).alias(f) for f in fields])
+    rows = df.select(id_col, *fields)
+    for f in fields:
+        rows = model.with_facts(rows, f).withColumn(f, cleaned(F.col(f), F.col("facts"))).drop("facts")
+    return rows
