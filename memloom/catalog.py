@@ -419,15 +419,15 @@ def doorway_keys(spark, d):
 @query
 def doorway_centroids(spark, d):
     m, ev = tables(spark, d, "memories", "recall_events")
-    ways = doorways.recorded(None, _shown_sets(ev).where("query_id % 20 = 0"), m.where("embedding_model = 'lumen-embed-64'"), as_of())
-    return ways.where("centroid is not null").select("key", "query_count", F.round(F.get("centroid", F.lit(0)).cast("double"), 6).alias("first"))
+    ways = doorways.recorded(None, _shown_sets(ev), m, as_of())
+    return ways.where("centroid is not null").select("key", "query_count", F.transform("centroid", lambda x: F.round(x.cast("double"), 5)).alias("centroid"))
 
 
 @query
 def doorway_staleness(spark, d):
     m, ev = tables(spark, d, "memories", "recall_events")
     formed = F.to_timestamp(F.lit("2024-02-10 00:00:00"))
-    ways = doorways.recorded(None, _shown_sets(ev), m.limit(0), as_of()).withColumn("formed_at", F.when(F.substring("key", 1, 1) < "8", formed).otherwise(as_of()))
+    ways = doorways.recorded(None, _shown_sets(ev), m, as_of()).withColumn("formed_at", F.when(F.substring("key", 1, 1) < "8", formed).otherwise(as_of()))
     return doorways.aged(ways, m).groupBy("stale").agg(F.count("*").alias("n"))
 
 
@@ -547,7 +547,7 @@ def weak_subjects(spark, d):
 @query
 def quality_warnings(spark, d):
     m = _memories(spark, d)
-    return quality.warnings(m, as_of()).groupBy("code").agg(F.count("*").alias("n"))
+    return quality.warnings(m, as_of(), searched=m.where("id % 20 = 0")).groupBy("code").agg(F.count("*").alias("n"))
 
 
 @query
@@ -587,7 +587,7 @@ def project_near_matches(spark, d):
 @query
 def seed_compile(spark, d):
     m, log = tables(spark, d, "memories", "memory_links")
-    people = m.where("person is not null").groupBy("person").agg(F.count("*").alias("n")).where("n >= 5").select(F.col("person").alias("entity"))
+    people = m.where("person is not null").select(F.col("person").alias("entity")).distinct()
     s = seeds.compiled(m, graph.compact(log), None, people, as_of())
     return s.select("entity", "version", F.size("payload.rows").alias("rows"), F.col("payload.weights.total").alias("total"), F.array_join("payload.gaps", ",").alias("gaps"))
 
@@ -612,6 +612,25 @@ def policy_ladder(spark, d):
     return evaluate.ladder(m, evaluate.citation_cases(m), as_of())
 
 
+@query
+def lens_bench(spark, d):
+    m = _memories(spark, d)
+    return evaluate.lens_bench(m, _lenses(m), evaluate.citation_cases(m), as_of())
+
+
+@query
+def use_signal_readiness(spark, d):
+    m = _memories(spark, d)
+    return evaluate.use_signal_readiness(m, evaluate.citation_cases(m), as_of())
+
+
+@query
+def period_summaries(spark, d):
+    m = _memories(spark, d)
+    due = topics.period_groups(m, F.to_timestamp(F.lit("2024-01-15 00:00:00")), hours=24 * 365, least=2, most=60, newest=1000)
+    return topics.period_rows(due, m, as_of()).select("node_key", "subject", "body", F.size("derived_from").alias("members"))
+
+
 @query
 def policy_changes(spark, d):
     """Cases that move between plain similarity and the shipped policy."""

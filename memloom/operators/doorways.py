@@ -18,8 +18,11 @@ def recorded(doorways: DataFrame | None, resolved: DataFrame, memories: DataFram
     """
     good = resolved.where((F.size("member_ids") >= least) & (F.col("cut_gap") >= min_gap)).withColumn("key", keys.set_key(F.col("member_ids")))
     new = good.groupBy("key").agg(F.first(F.array_sort(F.array_distinct("member_ids"))).alias("member_ids"), F.max("cut_gap").alias("cut_gap"), F.count("*").alias("query_count"))
-    parts = new.select("key", F.explode("member_ids").alias("id")).join(memories.select("id", "embedding"), "id")
-    new = new.join(centroid(parts, ["key"]).select("key", "centroid"), "key", "left").select("key", "member_ids", "centroid", "cut_gap", "query_count")
+    space = F.concat_ws("|", F.coalesce("embedding_model", F.lit("")), F.size("embedding").cast("string"))
+    parts = new.select("key", F.explode("member_ids").alias("id")).join(memories.where(F.col("embedding").isNotNull()).select("id", "embedding", space.alias("space")), "id")
+    # Vectors of different models have no common mean: the space of most members counts, ties to the smaller name.
+    main = latest(parts.groupBy("key", "space").agg(F.count("*").alias("n")), ["key"], [F.desc("n"), "space"]).select("key", "space")
+    new = new.join(centroid(parts.join(main, ["key", "space"]), ["key"]).select("key", "centroid"), "key", "left").select("key", "member_ids", "centroid", "cut_gap", "query_count")
     new = new.withColumns({"name": F.lit(None).cast("string"), "stale": F.lit(False), "formed_at": as_of})
     if doorways is None:
         return new
@@ -55,6 +58,14 @@ def named(doorways: DataFrame, memories: DataFrame, budget: int, least: int = 3,
     return d.withColumn("name", F.when(F.col("turn"), F.coalesce(F.nullif("asked", F.lit("")), "fallback")).otherwise(F.col("name"))).drop("turn", "fallback", "asked")
 
 
+def of_periods(doorways: DataFrame, due: DataFrame, memories: DataFrame, as_of: Column) -> DataFrame:
+    """The doorways with one for each hour (hour, members), named by the hour, so that the hour itself finds its rows."""
+    new = recorded(None, due.select(F.col("members").alias("member_ids"), F.lit(1.0).alias("cut_gap")), memories, as_of, least=1)
+    hours = due.select(keys.set_key(F.array_sort(F.array_distinct("members"))).alias("key"), "hour")
+    new = new.join(hours, "key").withColumn("name", F.col("hour")).drop("hour")
+    return doorways.unionByName(new.join(doorways.select("key"), "key", "left_anti").select(*doorways.columns))
+
+
 def promoted(doorways: DataFrame, topics: DataFrame, memories: DataFrame, least: int = 3, limit: int = 10) -> tuple[DataFrame, DataFrame]:
     """New topics (slug, name, project, centroid) and their members (slug, id), from named doorways that are no topic yet."""
     ripe = doorways.where(F.col("name").isNotNull() & (F.col("query_count") >= least)).withColumn("slug", text.topic_slug(F.col("name")))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from memloom.functions import text
+from memloom.functions import clock, text
 from memloom.operators import graph, rank, search
+from memloom.sources.schema import LENSES
 
 
 def citation_cases(memories: DataFrame) -> DataFrame:
@@ -39,10 +42,13 @@ def ladder(memories: DataFrame, cases: DataFrame, as_of: Column, policies: dict[
     """Metrics of every policy over all cases, from one search: only the scoring differs between the rungs."""
     asked = memories.join(cases.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding", "embedding_model")
     pool = search.top_k(search.active(memories, as_of), asked, limit * 4, skip_self=True).select("query_id", "id", "cosine")
-    parts = [rank.placed(rank.scored(pool, memories, as_of, p), limit=limit).select(F.lit(name).alias("policy"), "query_id", "id", "pos") for name, p in policies.items()]
-    ranked = parts[0]
-    for p in parts[1:]:
-        ranked = ranked.unionByName(p)
+    # One join and one ranking for all rungs: their scores are columns of the same row until then.
+    rows = rank.with_history(pool, memories, as_of)
+    for mode in {p.normalise for p in policies.values()}:
+        rows = rows.withColumn(f"wn_{mode}", rank.normalised(F.col("weight"), ["query_id"], mode))
+    rungs = [F.struct(F.lit(name).alias("policy"), rank.score(p, F.col(f"wn_{p.normalise}"), clock.recency(F.col("last_accessed"), as_of, p.recency_days)).alias("score")) for name, p in policies.items()]
+    rows = rows.select("query_id", "id", "cosine", F.explode(F.array(*rungs)).alias("r")).select("query_id", "id", "cosine", "r.policy", "r.score")
+    ranked = rank.placed(rows, ("policy", "query_id"), limit).select("policy", "query_id", "id", "pos")
     names = memories.sparkSession.createDataFrame([(n,) for n in policies], "policy string")
     every = cases.join(F.broadcast(names))
     hits = every.join(ranked.select("policy", "query_id", F.col("id").alias("expected"), "pos"), ["policy", "query_id", "expected"], "left")
@@ -50,6 +56,46 @@ def ladder(memories: DataFrame, cases: DataFrame, as_of: Column, policies: dict[
     return metrics(scores, ("policy",))
 
 
+def lens_bench(memories: DataFrame, lenses: DataFrame, cases: DataFrame, as_of: Column, limit: int = 10, types: tuple[str, ...] = LENSES) -> DataFrame:
+    """Metrics of recall without lenses, with all and with each type alone, by ``lenses``.
+
+    Only cases with an expected row that has a lens count, as all others would dilute the
+    difference; status and supersession take no part in the score.
+    """
+    held = lenses.where(F.col("embedding").isNotNull()).select(F.col("memory_id").alias("expected")).distinct()
+    cases = cases.join(cases.join(held, "expected", "left_semi").select("query_id").distinct(), "query_id", "left_semi")
+    asked = memories.join(cases.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding", "embedding_model")
+    live = search.active(memories, as_of)
+    literal = search.top_k(live, asked, limit * 4, skip_self=True).select("query_id", "id", "cosine")
+    every = search.lens_top_k(lenses, live, asked, limit * 4, list(types))
+    pools = {"none": literal, "all": search.merged_pool(literal, every)}
+    pools |= {t: search.merged_pool(literal, search.lens_top_k(lenses, live, asked, limit * 4, [t])) for t in types}
+    policy = rank.Policy(temporal=False, supersession=False)
+    ranked = None
+    for name, pool in pools.items():
+        part = rank.placed(rank.scored(pool.where("id <> query_id"), memories, as_of, policy), limit=limit).select(F.lit(name).alias("lenses"), "query_id", "id", "pos")
+        ranked = part if ranked is None else ranked.unionByName(part)
+    rungs = F.broadcast(memories.sparkSession.createDataFrame([(n,) for n in pools], "lenses string"))
+    hits = cases.join(rungs).join(ranked.select("lenses", "query_id", F.col("id").alias("expected"), "pos"), ["lenses", "query_id", "expected"], "left")
+    scores = hits.groupBy("lenses", "query_id").agg(F.count_distinct("expected").alias("expected"), F.count("pos").alias("found"), F.min("pos").alias("best"))
+    return metrics(scores, ("lenses",))
+
+
+def use_signal_readiness(memories: DataFrame, cases: DataFrame, as_of: Column, limit: int = 10, bonus: float = 0.3) -> DataFrame:
+    """One row (n, better, worse, changed, marked, verdict): what the success term changes among the cases, and whether that can be judged.
+
+    marked counts the live rows with a success.  verdict: ``answerable`` where more cases
+    get better than worse, ``harmful`` where some change but not for the better, ``not
+    answerable`` where none changes, ``no cases`` without cases.
+    """
+    asked = memories.join(cases.select(F.col("query_id").alias("id")).distinct(), "id", "left_semi").select(F.col("id").alias("query_id"), "embedding", "embedding_model")
+    pool = search.top_k(search.active(memories, as_of), asked, limit * 4, skip_self=True).select("query_id", "id", "cosine")
+    off, on = (case_scores(rank.placed(rank.scored(pool, memories, as_of, rank.Policy(success_bonus=b)), limit=limit), cases) for b in (0.0, bonus))
+    marked = memories.where(~F.coalesce("archived", F.lit(False)) & (F.col("success_count") > 0)).agg(F.count("*").alias("marked"))
+    verdict = F.when(F.col("n") == 0, "no cases").when(F.col("changed") == 0, "not answerable").when(F.col("better") > F.col("worse"), "answerable").otherwise("harmful")
+    return changed_cases(off, on).join(F.broadcast(marked)).withColumn("verdict", verdict)
+
+
 def changed_cases(a: DataFrame, b: DataFrame) -> DataFrame:
     """One row: cases of two runs (query_id, best) that got better, worse, or moved at all; no hit ranks after every hit."""
     both = a.select("query_id", F.coalesce("best", F.lit(1 << 30)).alias("x")).join(b.select("query_id", F.coalesce("best", F.lit(1 << 30)).alias("y")), "query_id")
@@ -82,20 +128,40 @@ ID_RANGE = 65_536
 LCG_START, LCG_FACTOR, LCG_STEP = 0x2545F4914F6CDD1D, 6364136223846793005, 1442695040888963407
 
 
-def bootstrap_no_lift(cold: list[int], warm: list[int], rounds: int = 2000) -> float:
-    """Share of paired resamples in which warm does not beat cold; 1 without cases.  Driver-side, on one flag a case."""
-    n = len(cold)
-    if n == 0:
+def _draws(turns: int) -> np.ndarray:
+    """The first ``turns`` states of the fixed generator; known states are doubled in number by one jump ahead."""
+    states = np.array([(LCG_FACTOR * LCG_START + LCG_STEP) % 2**64], dtype=np.uint64)
+    factor, step = LCG_FACTOR, LCG_STEP  # of a jump over len(states) draws
+    while len(states) < turns:
+        with np.errstate(over="ignore"):
+            states = np.concatenate([states, states * np.uint64(factor) + np.uint64(step)])
+        step = (factor * step + step) % 2**64
+        factor = factor * factor % 2**64
+    return states[:turns]
+
+
+def no_lift(gains: np.ndarray, resamples: int = 2000) -> float:
+    """Share of paired resamples whose summed gain is not positive; 1 without cases."""
+    cases = len(gains)
+    if not cases:
         return 1.0
-    gain = [w - c for c, w in zip(cold, warm)]
-    state, mask, flat = LCG_START, (1 << 64) - 1, 0
-    for _ in range(rounds):
-        total = 0
-        for _ in range(n):
-            state = (LCG_FACTOR * state + LCG_STEP) & mask
-            total += gain[(state >> 11) % n]
-        flat += total <= 0
-    return flat / rounds
+    picks = (_draws(resamples * cases) >> np.uint64(11)) % np.uint64(cases)
+    return float((np.asarray(gains)[picks.astype(np.int64)].reshape(resamples, cases).sum(axis=1) <= 0).mean())
+
+
+def lift_test(cases: DataFrame, by: str, resamples: int = 2000) -> DataFrame:
+    """(by, n, cold, warm, no_lift) of each group of cases (a, b, cold, warm): hit rates and the share of resamples without lift.
+
+    Groups run in parallel; within one, the cases are taken in the order of (a, b).
+    """
+
+    def test(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["a", "b"])
+        gains = pdf["warm"].astype(int).to_numpy() - pdf["cold"].astype(int).to_numpy()
+        return pd.DataFrame([(pdf[by].iloc[0], len(pdf), pdf["cold"].mean(), pdf["warm"].mean(), no_lift(gains, resamples))])
+
+    kind = dict(cases.dtypes)[by]
+    return cases.select(by, "a", "b", "cold", "warm").groupBy(by).applyInPandas(test, f"{by} {kind}, n long, cold double, warm double, no_lift double")
 
 
 def overlap_gate(questions: DataFrame, most: int = 3, stopwords: tuple[str, ...] = ()) -> DataFrame:

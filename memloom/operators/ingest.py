@@ -41,8 +41,9 @@ def first_of_exchange(rows: DataFrame, stored: DataFrame | None = None) -> DataF
 
 def paired_turns(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, prompt, answer): each user turn with the next assistant turn after it; turns without one go."""
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(1, Window.unboundedFollowing)
-    answer = F.first(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(w)
+    # Read backwards the frame only grows, so a conversation costs one pass.
+    w = Window.partitionBy("conv_id").orderBy(F.desc("turn")).rowsBetween(Window.unboundedPreceding, -1)
+    answer = F.last(F.when(F.col("role") == "assistant", F.col("text")), ignorenulls=True).over(w)
     return turns.withColumn("answer", answer).where("role = 'user' and answer is not null").select("conv_id", "turn", F.col("text").alias("prompt"), "answer")
 
 

@@ -63,6 +63,12 @@ def archive_unused(memories: DataFrame, as_of: Column, days: int = 90) -> DataFr
     return memories.withColumn("archived", F.coalesce("archived", F.lit(False)) | F.coalesce(old, F.lit(False)))
 
 
+def retensed(memories: DataFrame, written: DataFrame) -> DataFrame:
+    """The state after rewrites (id, body) of rows that were due; blank rewrites change nothing, of several for one row the smallest counts."""
+    new = written.where(F.trim(F.coalesce("body", F.lit(""))) != "").groupBy("id").agg(F.min("body").alias("_new"))
+    return memories.join(new, "id", "left").withColumn("body", F.coalesce("_new", "body")).select(*memories.columns)
+
+
 def due_for_retensing(memories: DataFrame, as_of: Column, limit: int = 50) -> DataFrame:
     """(id, subject, status): anchored live rows whose date is past or current, oldest anchor first."""
     status = clock.temporal_status(F.col("temporal_anchor_start"), F.col("temporal_anchor_end"), F.to_date(as_of))

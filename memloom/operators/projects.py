@@ -79,20 +79,23 @@ def vocabulary(projects: DataFrame, aliases: DataFrame) -> DataFrame:
     return latest(both, ["term"], ["turn", "canonical"]).select("term", "canonical")
 
 
-def mentions(rows: DataFrame, vocab: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("subject", "body"), most_words: int = 6) -> DataFrame:
-    """(id, canonical): terms that stand in the text between word borders.
+def mentions(rows: DataFrame, vocab: DataFrame, id_col: str = "id", text_cols: tuple[str, ...] = ("subject", "body")) -> DataFrame:
+    """(id, canonical): terms of any length that stand in the text, not next to an ASCII letter or digit.
 
-    Word runs of the text are joined with the terms' word runs and then verified, so the
-    work follows the texts and not texts times terms.
+    A term can only stand where each of its runs of ASCII letters and digits is a whole
+    run of the text.  Texts meet terms on the longest run of a term and are then
+    verified, so the work follows the texts and not texts times terms; a term without
+    such a run meets all texts.  Null texts count as empty, rows without an id are left out.
     """
-    words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("([a-z0-9]+)"), F.lit(1)))
     full = F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols]))
-    t = vocab.withColumn("w", words(F.col("term"))).where(F.size("w") > 0).withColumn("key", F.array_join("w", " "))
-    r = rows.select(F.col(id_col).alias("id"), full.alias("text")).withColumn("w", words(F.col("text")))
-    runs = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda n: F.transform(F.filter(F.sequence(F.lit(0), F.size("w")), lambda i: i + n <= F.size("w")), lambda i: F.array_join(F.slice("w", i + 1, n), " "))))
-    hit = r.select("id", F.explode(F.array_distinct(runs)).alias("key")).join(_dim(t.select("key", "term", "canonical")), "key")
-    checked = hit.join(r.select("id", "text"), "id").where(F.expr(r"text rlike concat('(?<![\\p{L}\\p{N}_])\\Q', term, '\\E(?![\\p{L}\\p{N}_])')"))
-    return checked.select("id", "canonical").distinct()
+    longest = F.array_sort(runs(F.col("term")), lambda a, b: F.when(F.length(a) != F.length(b), F.length(b) - F.length(a)).when(a < b, -1).otherwise(F.lit(1)))
+    t = vocab.select("term", "canonical", F.coalesce(F.get(longest, F.lit(0)), F.lit("")).alias("key"))
+    r = rows.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), full.alias("text"))
+    hit = r.select("id", F.explode(F.concat(F.array(F.lit("")), runs(F.col("text")))).alias("key")).join(_dim(t), "key").select("id", "term", "canonical")
+    quoted = F.concat(F.lit("\\Q"), F.replace("term", F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
+    stands = F.col("text").contains(F.col("term")) & F.regexp_like("text", F.concat(F.lit("(?<![a-z0-9])"), quoted, F.lit("(?![a-z0-9])")))
+    return hit.join(r, "id").where(stands).select("id", "canonical").distinct()
 
 
 def classified(rows: DataFrame, vocab: DataFrame, id_col: str = "id", active: str = "project", judge: DataFrame | None = None) -> DataFrame:

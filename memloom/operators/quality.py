@@ -30,14 +30,16 @@ def weak_subject(subject: Column) -> Column:
     return F.when(F.length(s) < WEAK, "short").when(s.rlike(text.URLISH), "url-like")
 
 
-def warnings(memories: DataFrame, as_of: Column, asked: DataFrame | None = None, duplicates: bool = False) -> DataFrame:
+def warnings(memories: DataFrame, as_of: Column, asked: DataFrame | None = None, searched: DataFrame | None = None) -> DataFrame:
     """(id, n, code): the warnings of the asked rows (all if None), in the order of the checks.
 
-    Near duplicates are searched for the asked rows only, as each costs a pass over all.
+    Near duplicates are looked for from the rows of ``searched`` only (the asked ones if
+    ``asked`` is given and it is not), as each of them is a search over all.
     """
     rows = memories if asked is None else memories.join(asked.select("id"), "id", "left_semi")
     w = rows.join(template_siblings(memories), "id", "left")
-    near = search.near_duplicates(memories, rows, as_of).select("id", "other") if duplicates else rows.select("id", F.lit(None).cast("long").alias("other")).limit(0)
+    searched = rows if searched is None and asked is not None else searched
+    near = search.near_duplicates(memories, searched, as_of).select("id", "other") if searched is not None else rows.select("id", F.lit(None).cast("long").alias("other")).limit(0)
     w = w.join(near, "id", "left")
     checks = [
         ("templated_subject", F.coalesce(F.col("siblings") >= TEMPLATE_AT, F.lit(False))),

@@ -67,12 +67,20 @@ def normalised(weight: Column, by: list[str], mode: str = "rank") -> Column:
 
 def scored(pool: DataFrame, memories: DataFrame, as_of: Column, policy: Policy = Policy(), by: tuple[str, ...] = ("query_id",)) -> DataFrame:
     """The pool with weight_norm, recency, status and score, rounded to 4 places before any sorting."""
-    rows = memories.select("id", "weight", "last_accessed", "temporal_anchor_start", "temporal_anchor_end", "superseded_by", "success_count", "fail_count")
-    p = pool.join(rows, "id")
-    p = p.withColumn("weight_norm", normalised(F.col("weight"), list(by), policy.normalise))
+    p = with_history(pool, memories, as_of).withColumn("weight_norm", normalised(F.col("weight"), list(by), policy.normalise))
     p = p.withColumn("recency", clock.recency(F.col("last_accessed"), as_of, policy.recency_days))
-    p = p.withColumn("status", clock.temporal_status(F.col("temporal_anchor_start"), F.col("temporal_anchor_end"), F.to_date(as_of)))
-    use = F.lit(1.0) + F.lit(policy.use_bonus) * (F.lit(policy.use_share) * F.col("weight_norm") + F.lit(policy.recency_share) * F.col("recency"))
+    return p.withColumn("score", score(policy, F.col("weight_norm"), F.col("recency")))
+
+
+def with_history(pool: DataFrame, memories: DataFrame, as_of: Column) -> DataFrame:
+    """The pool with what the score needs of its rows, and their status."""
+    rows = memories.select("id", "weight", "last_accessed", "temporal_anchor_start", "temporal_anchor_end", "superseded_by", "success_count", "fail_count")
+    return pool.join(rows, "id").withColumn("status", clock.temporal_status(F.col("temporal_anchor_start"), F.col("temporal_anchor_end"), F.to_date(as_of)))
+
+
+def score(policy: Policy, weight_norm: Column, recency: Column) -> Column:
+    """The composite score of a row of with_history, rounded half-even to 4 places."""
+    use = F.lit(1.0) + F.lit(policy.use_bonus) * (F.lit(policy.use_share) * weight_norm + F.lit(policy.recency_share) * recency)
     factor = F.lit(1.0)
     if policy.temporal:
         factor = F.when(F.col("status") == "current", policy.current).when(F.col("status") == "past", policy.past).otherwise(1.0)
@@ -81,7 +89,7 @@ def scored(pool: DataFrame, memories: DataFrame, as_of: Column, policy: Policy =
     if policy.success_bonus:
         net = F.coalesce("success_count", F.lit(0)) - F.coalesce("fail_count", F.lit(0))
         factor = factor * F.when(net > 0, F.lit(1.0) + F.lit(policy.success_bonus) * net / (net + 2)).otherwise(1.0)
-    return p.withColumn("score", F.round(F.col("cosine") * use * factor, 4))
+    return F.bround(F.col("cosine") * use * factor, 4)
 
 
 def order(*by: str) -> Window:

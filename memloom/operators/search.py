@@ -1,9 +1,9 @@
 """Exact top-k vector search for many queries at once.
 
-Queries go out in blocks of at most QUERY_BLOCK rows (a checked size), the
-memories stay where they are: each task scores its rows against a block with one
-matrix product and keeps the best k of every query, so that only k rows for each
-query and task are shuffled.  Nothing is sampled; the result is exact.
+Queries go out in blocks of at most QUERY_BYTES, the memories stay where they are:
+each task scores its rows against up to BLOCKS_A_SCAN blocks in one scan, tile by
+tile, and keeps the best k different rows of every query, so that only k rows for
+each query and task are shuffled.  Nothing is sampled; the result is exact.
 """
 
 from __future__ import annotations
@@ -17,7 +17,10 @@ from pyspark.sql import functions as F
 
 from memloom.functions import vector as V
 
-QUERY_BLOCK = 20_000
+#: Bytes of query vectors in one block, and blocks that one scan of the rows answers.
+QUERY_BYTES = 32 << 20
+BLOCKS_A_SCAN = 8
+#: Rows and queries of a tile.
 ROWS = 2_048
 
 
@@ -54,56 +57,103 @@ def _key(df: DataFrame, vec: str, model: str | None) -> DataFrame:
     return df.where(F.col(vec).isNotNull() & (F.col(model).isNotNull() if model else F.lit(True))).withColumn("space", space)
 
 
+def _kept(q: np.ndarray, ids: np.ndarray, cos: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best different ids of every query, ties to the smaller id."""
+    order = np.lexsort((-cos, ids, q))
+    q, ids, cos = q[order], ids[order], cos[order]
+    first = np.ones(len(q), dtype=bool)
+    first[1:] = (q[1:] != q[:-1]) | (ids[1:] != ids[:-1])
+    q, ids, cos = q[first], ids[first], cos[first]
+    order = np.lexsort((ids, -cos, q))
+    q, ids, cos = q[order], ids[order], cos[order]
+    starts = np.searchsorted(q, q, side="left")
+    keep = np.arange(len(q)) - starts < k
+    return q[keep], ids[keep], cos[keep]
+
+
+class _Best:
+    """The k best rows so far of every query of one block and space."""
+
+    def __init__(self, k: int, qid: np.ndarray) -> None:
+        self.k, self.qid = k, qid
+        self.held = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        self.least = np.full(len(qid), -2.0)
+
+    def add(self, q: np.ndarray, ids: np.ndarray, rows: np.ndarray, skip_self: bool) -> None:
+        """Score rows (unit vectors) against the queries, tile by tile."""
+        for at in range(0, len(q), ROWS):
+            cos = (q[at : at + ROWS] @ rows.T).round(9)
+            if skip_self:
+                cos[self.qid[at : at + ROWS, None] == ids[None, :]] = -9.0
+            hit = cos >= self.least[at : at + ROWS, None]
+            # Repeated ids may take several of the best places, so the cut counts different ids only where all are different.
+            if self.unique(ids) and cos.shape[1] > self.k:
+                hit &= cos >= np.partition(cos, -self.k, axis=1)[:, -self.k][:, None]
+            hit &= cos > -2.0
+            r, c = np.nonzero(hit)
+            if not len(r):
+                continue
+            mine = (self.held[0] >= at) & (self.held[0] < at + ROWS)
+            new = _kept(*[np.concatenate(x) for x in zip([h[mine] for h in self.held], (r + at, ids[c], cos[r, c]))], self.k)
+            self.held = tuple(np.concatenate([h[~mine], n]) for h, n in zip(self.held, new))
+            number = np.bincount(new[0] - at, minlength=len(cos))
+            low = np.full(len(cos), np.inf)
+            np.minimum.at(low, new[0] - at, new[2])
+            full = number == self.k
+            self.least[at : at + ROWS][full] = low[full]
+
+    @staticmethod
+    def unique(ids: np.ndarray) -> bool:
+        return len(ids) < 2 or bool((ids[1:] != ids[:-1]).all())
+
+
 def top_k(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", query_col: str = "query_id", vec: str = "embedding", model: str | None = "embedding_model", skip_self: bool = False) -> DataFrame:
     """(query_col, id_col, cosine, pos): the k most similar rows of every query, pos from 1.
 
     Rows and queries compare within one model and length only.  Unusable vectors
     (null, empty, non-finite, all zero) and null ids match nothing.  Ties go to the smaller id.
-    Repeated ids keep their best place once.
+    Repeated ids keep their best place once, so that k different ids come out where there are k.
+    A repeated query with several vectors takes each row's best cosine.
     """
     r = _key(rows, vec, model).select(F.col(id_col).cast("long").alias("id"), "space", F.col(vec).cast("array<double>").alias("v"))
     r = r.where("id is not null")
     asked = _key(queries.where(F.col(query_col).isNotNull()), vec, model).select(F.col(query_col).cast("long").alias("q"), "space", F.col(vec).cast("array<double>").alias("v"))
-    total = asked.count()
-    blocks = max(1, -(-total // QUERY_BLOCK))
+    size = asked.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("dim")).first()
+    blocks = max(1, -(-size["n"] * 8 * (size["dim"] or 1) // QUERY_BYTES))
     spark = rows.sparkSession
     parts: list[DataFrame] = []
-    for b in range(blocks):
-        pdf = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == b).toPandas()  # about QUERY_BLOCK rows
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
-        for s, p in pdf.groupby("space"):
-            m = np.array(p["v"].tolist(), dtype=np.float64)
-            ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
-            if ok.any():
-                held[s] = (p["q"].to_numpy()[ok], m[ok] / np.linalg.norm(m[ok], axis=1)[:, None])
-        sent = spark.sparkContext.broadcast(held)
+    for b in range(0, blocks, BLOCKS_A_SCAN):
+        sent = []
+        for turn in range(b, min(b + BLOCKS_A_SCAN, blocks)):
+            pdf = asked.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == turn).toPandas()  # about QUERY_BYTES
+            held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            for s, p in pdf.groupby("space"):
+                m = np.array(p["v"].tolist(), dtype=np.float64)
+                ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
+                if ok.any():
+                    held[s] = (p["q"].to_numpy()[ok], m[ok] / np.linalg.norm(m[ok], axis=1)[:, None])
+            sent.append(spark.sparkContext.broadcast(held))
 
         def score(batches: Iterator[pd.DataFrame], sent=sent) -> Iterator[pd.DataFrame]:
-            best: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+            best: dict[tuple[int, str], _Best] = {}
             for pdf in batches:
                 for s, p in pdf.groupby("space"):
-                    if s not in sent.value:
+                    asking = [(i, x.value[s]) for i, x in enumerate(sent) if s in x.value]
+                    if not asking:
                         continue
-                    qid, q = sent.value[s]
                     m = np.array(p["v"].tolist(), dtype=np.float64)
                     ok = np.isfinite(m).all(axis=1) & (m != 0).any(axis=1)
                     ids, m = p["id"].to_numpy()[ok], m[ok]
-                    order = np.argsort(ids)
-                    ids, m = ids[order], m[order]
-                    for at in range(0, len(ids), ROWS):
-                        own = ids[at : at + ROWS]
-                        part = m[at : at + ROWS]
-                        cos = (q @ (part / np.linalg.norm(part, axis=1)[:, None]).T).round(9)
-                        if skip_self:
-                            cos[qid[:, None] == own[None, :]] = -9.0
-                        c, i = best.get(s, (np.empty((len(qid), 0)), np.empty((len(qid), 0), dtype=np.int64)))
-                        c, i = np.hstack([c, cos]), np.hstack([i, np.broadcast_to(own, cos.shape)])
-                        keep = np.lexsort((i, -c), axis=1)[:, : k + 1]
-                        best[s] = np.take_along_axis(c, keep, 1), np.take_along_axis(i, keep, 1)
-            for s, (c, i) in best.items():
-                qid = np.repeat(sent.value[s][0], c.shape[1])
-                out = pd.DataFrame({"q": qid, "id": i.ravel(), "cosine": c.ravel()})
-                yield out[out["cosine"] > -2.0]
+                    order = np.argsort(ids, kind="stable")
+                    ids, m = ids[order], m[order] / np.linalg.norm(m[order], axis=1)[:, None]
+                    for i, (qid, q) in asking:
+                        if (i, s) not in best:
+                            best[i, s] = _Best(k, qid)
+                        for at in range(0, len(ids), ROWS):
+                            best[i, s].add(q, ids[at : at + ROWS], m[at : at + ROWS], skip_self)
+            for one in best.values():
+                q, ids, cos = one.held
+                yield pd.DataFrame({"q": one.qid[q], "id": ids, "cosine": cos})
 
         parts.append(r.mapInPandas(score, "q long, id long, cosine double"))
     found = parts[0]

@@ -49,8 +49,9 @@ def backfilled(topics: DataFrame, tags: DataFrame, memories: DataFrame, per_topi
     terms = terms.withColumn("key", F.nullif(border, F.lit("")))
     full = F.lower(F.concat_ws(" ", F.coalesce("subject", F.lit("")), F.coalesce("body", F.lit(""))))
     rows = memories.where(~F.coalesce("archived", F.lit(False)) & not_recycled(F.col("origin"))).select("id", "project", full.alias("text"))
-    keyed = rows.select("id", "project", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=(\S{2} \S{2}))"), F.lit(1)))).alias("key"))
-    by_word = keyed.join(terms.where("key is not null"), ["key", "project"]).where(F.col("text").contains(F.col("term"))).select("slug", "id")
+    keyed = rows.select("id", "project", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?=(\S{2} \S{2}))"), F.lit(1)))).alias("key"))
+    met = keyed.join(terms.where("key is not null"), ["key", "project"]).select("id", "slug", "term")  # texts join the hits only
+    by_word = met.join(rows.select("id", "text"), "id").where(F.col("text").contains(F.col("term"))).select("slug", "id")
     by_project = rows.join(terms.where("key is null").drop("key"), "project").where(F.col("text").contains(F.col("term"))).select("slug", "id")
     new = by_word.unionByName(by_project).distinct().join(tags.select("slug", "id"), ["slug", "id"], "left_anti")
     return new.withColumn("n", F.row_number().over(Window.partitionBy("slug").orderBy("id"))).where(F.col("n") <= per_topic).drop("n")
@@ -86,11 +87,25 @@ def summary_rows(due: DataFrame, as_of: Column) -> DataFrame:
     return due.select(F.concat(F.lit("topic|"), F.col("slug")).alias("node_key"), F.col("slug").alias("subject"), body.alias("body"), F.col("members").alias("derived_from"), F.lit(1).alias("derived_depth"), F.lit("insight").alias("tier"), F.lit("recycle").alias("origin"), as_of.alias("created_at"), "replaces")
 
 
+def period_rows(due: DataFrame, memories: DataFrame, as_of: Column, shown: int = 40) -> DataFrame:
+    """Rows to write for hours (hour, members): the projects touched and one line for each of the first ``shown`` members."""
+    line = F.concat(F.lit("- ["), F.col("id"), F.lit("] "), F.coalesce("project", F.lit("(none)")), F.lit(": "), F.coalesce("subject", F.lit("")))
+    first = due.select("hour", F.posexplode(F.slice("members", 1, shown)).alias("place", "id")).join(memories.select("id", "project", "subject"), "id")
+    lines = first.groupBy("hour").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("lines"), F.array_sort(F.collect_set(F.coalesce("project", F.lit("(none)")))).alias("projects"))
+    body = F.concat(F.lit("Projects touched: "), F.array_join("projects", ", "), F.lit("\n\n"), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"))
+    return due.join(lines, "hour").select(
+        F.concat(F.lit("period|"), F.col("hour")).alias("node_key"), F.concat(F.lit("Session summary: "), F.col("hour")).alias("subject"), body.alias("body"), F.col("members").alias("derived_from"),
+        F.lit(1).alias("derived_depth"), F.lit("insight").alias("tier"), F.lit("recycle").alias("origin"), as_of.alias("created_at"), F.lit(None).cast("long").alias("replaces"),
+    )
+
+
 def period_groups(memories: DataFrame, as_of: Column, hours: int = 48, least: int = 4, most: int = 60, newest: int = 2, project: str | None = None) -> DataFrame:
     """(hour, members, n): hours of the last ``hours`` with ``least`` to ``most`` rows, the newest first, that have no summary yet."""
     rows = memories.where(not_recycled(F.col("origin")) & ~F.coalesce("archived", F.lit(False)) & (F.col("created_at") >= as_of - F.make_dt_interval(hours=F.lit(hours))) & (F.col("created_at") <= as_of))
     if project is not None:
         rows = rows.where(F.col("project") == project)
-    groups = rows.groupBy(clock.hour_label(F.col("created_at")).alias("hour")).agg(F.sort_array(F.collect_list("id")).alias("members"), F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") <= most))
+    rows = rows.select("id", clock.hour_label(F.col("created_at")).alias("hour"))
     done = memories.where(F.col("node_key").startswith("period|")).select(F.regexp_replace("node_key", r"^period\|", "").alias("hour"))
-    return groups.join(done, "hour", "left_anti").orderBy(F.desc("hour")).limit(newest)
+    # Hours are counted first, so that a bulk import is never gathered into one row.
+    hours_due = rows.groupBy("hour").agg(F.count("*").alias("n")).where((F.col("n") >= least) & (F.col("n") <= most)).join(done, "hour", "left_anti").orderBy(F.desc("hour")).limit(newest)
+    return rows.join(F.broadcast(hours_due), "hour").groupBy("hour").agg(F.sort_array(F.collect_list("id")).alias("members"), F.first("n").alias("n")).orderBy(F.desc("hour"))

@@ -23,6 +23,13 @@ _CASES = (
 )
 
 
+_MENTIONS = (
+    "terms as (select term, canonical from (select *, row_number() over (partition by term order by turn, canonical) as n from (select lower(slug) as term, slug as canonical, 0 as turn from projects union all select lower(display_name), slug, 1 from projects union all select lower(alias), canonical, 2 from project_aliases) where length(term) >= 3) where n = 1), "
+    "texts as (select id, project, lower(coalesce(subject, '') || ' ' || coalesce(body, '')) as text from memories), "
+    "ment as (select distinct id, canonical from (select id, text, term, canonical from texts join terms on contains(text, term)) where regexp_matches(text, '(^|[^a-z0-9])' || regexp_escape(term) || '([^a-z0-9]|$)'))"
+)
+
+
 def _pool(k: int, pool: str = "true", asked: str = "id % 20 = 0", skip: bool = False) -> str:
     """CTEs q (usable queries), r (usable candidates), pool (the k most similar)."""
     own = "and r.id <> q.query_id" if skip else ""
@@ -49,7 +56,7 @@ def _scored(use: float = 0.1, temporal: bool = True, supersession: bool = True,
         factor.append(f"case when {net} > 0 then 1.0 + {success} * {net} / ({net} + 2.0) else 1.0 end")
     return (
         f"{name}_in as (select p.query_id, p.id, p.cosine, m.superseded_by, m.success_count, m.fail_count, {norm} as wn, {_RECENCY} as rec, {_STATUS} as status from {pool} p join memories m on m.id = p.id), "
-        f"{name}_s as (select *, round(cosine * (1.0 + {use} * (0.7 * wn + 0.2 * rec)) * {' * '.join(factor)}, 4) as score from {name}_in), "
+        f"{name}_s as (select *, round_even(cosine * (1.0 + {use} * (0.7 * wn + 0.2 * rec)) * {' * '.join(factor)}, 4) as score from {name}_in), "
         f"{name} as (select *, row_number() over (partition by query_id order by score desc, cosine desc, id) as pos from {name}_s)"
     )
 
@@ -69,6 +76,37 @@ _METRICS = (
 )
 
 
+def _moved(before: dict, after: dict, result: str) -> str:
+    """Best places x and y of every case under two policies."""
+    best = "select c.query_id, coalesce(min(s.pos), 1 << 30) as {0} from cases c left join (select * from s_{0} where pos <= 10) s on s.query_id = c.query_id and s.id = c.expected group by 1"
+    scored = ", ".join(_scored(**kw, name=f"s_{name}") for name, kw in (("x", before), ("y", after)))
+    return f"with {_CASES}, {_pool(40, asked='id in (select query_id from cases)', skip=True)}, {scored}, moved as (select * from ({best.format('x')}) join ({best.format('y')}) using (query_id)) {result}"
+
+
+def _lens_bench() -> str:
+    rungs = {"none": None, "all": "true", **{t: f"perspective = '{t}'" for t in ("thematic", "questions", "vantages")}}
+    parts, hits = [], []
+    for name, chosen in rungs.items():
+        if chosen is None:
+            parts.append(f"p_{name} as (select query_id, id, cosine from pool)")
+        else:
+            parts.append(
+                f"k_{name} as (select * from (select *, row_number() over (partition by query_id order by cosine desc, id) as p from ln where {chosen}) where p <= 40), "
+                f"p_{name} as (select query_id, id, max(cosine) as cosine from (select query_id, id, cosine from pool union all select query_id, id, cosine from k_{name}) where id <> query_id group by 1, 2)"
+            )
+        parts.append(_scored(temporal=False, supersession=False, pool=f"p_{name}", name=f"s_{name}"))
+        hits.append(f"select '{name}' as lenses, c.query_id, c.expected, s.pos from kept c left join (select * from s_{name} where pos <= 10) s on s.query_id = c.query_id and s.id = c.expected")
+    lens = _LENS.replace("m.id as memory_id", "m.id as memory_id, case when m.id % 3 = 0 then 'thematic' when m.id % 3 = 1 then 'questions' else 'vantages' end as perspective")
+    return (
+        f"with {_CASES}, {lens}, kept as (select * from cases where query_id in (select query_id from cases where expected in (select memory_id from lens where embedding is not null))), "
+        f"{_pool(40, asked='id in (select query_id from kept)', skip=True)}, "
+        f"ln as (select query_id, memory_id as id, perspective, round(list_cosine_similarity(q.v, l.embedding::double[]), 9) as cosine from q join (select l.* from lens l join memories m on m.id = l.memory_id where {_ACTIVE.replace('embedding is', 'm.embedding is')}) l on l.em = q.em "
+        "and len(l.embedding) = len(q.v) and len(list_filter(l.embedding, lambda x: isfinite(x))) = len(l.embedding) and len(list_filter(l.embedding, lambda x: x <> 0)) > 0), "
+        + ", ".join(parts) + ", every as (" + " union all ".join(hits)
+        + f"), sc as (select lenses, query_id, count(distinct expected) as expected, count(pos) as found, min(pos) as best from every group by 1, 2) select lenses, {_METRICS} from sc group by lenses"
+    )
+
+
 def _gap_sql() -> str:
     from memloom.functions.text import CATEGORIES
 
@@ -191,6 +229,11 @@ def oracle_sql() -> dict[str, str]:
         "topic_slugs": f"select id, {slug} as slug from memories",
         "noun_types": f"select case when {has(NOUN_WORDS['place'])} then 'place' when {has(NOUN_WORDS['project'])} then 'project' when regexp_matches(coalesce(person, ''), '^\\p{{Lu}}') and contains(person, ' ') then 'person' else 'thing' end as noun_type, count(*) as n from memories group by 1",
         "gap_categories": _gap_sql(),
+        "project_mentions": f"with {_MENTIONS} select canonical, count(*) as n from ment group by canonical",
+        "project_classification": (
+            f"with {_MENTIONS}, c as (select t.id, t.project as a, count(m.canonical) as k, count(m.canonical) filter (where m.canonical is distinct from t.project) as others, min(m.canonical) as one from texts t left join ment m on m.id = t.id group by 1, 2), "
+            "s as (select case when a is not null and others = 0 then a when a is null and k = 1 then one end as s, a from c) select case when s is not null then 'context' else 'fallback' end as method, count(*) as n, count(coalesce(s, a)) as with_project from s group by 1"
+        ),
         "json_fold": (
             "with recursive t as (select m.id, j.fullkey, j.type, j.atom, j.value from memories m, json_tree(m.metadata_json::json) j where m.metadata_json is not null and json_valid(m.metadata_json)) "
             "select id, regexp_replace(fullkey, '^\\$\\.?', '') as path, cast(value as varchar) as value from t where type not in ('OBJECT', 'ARRAY')"
@@ -236,7 +279,7 @@ def oracle_sql() -> dict[str, str]:
         "repeated_injections": f"with {_EVENTS}, f as (select session_id, created_at, id, unnest(list_transform(shown, lambda s: s.id)) as mid from ev), r as (select row_number() over (partition by session_id, mid order by created_at, id) as n from f) select count(*) as shown, count(*) filter (where n > 1) as repeated from r",
         "template_subjects": f"with {siblings} select id, siblings from sib where siblings >= 5",
         "weak_subjects": f"select {weak} as weakness, count(*) as n from memories group by 1",
-        "quality_warnings": f"with {siblings}, m as (select m.*, s.siblings from memories m join sib s on s.id = m.id) select code, count(*) as n from (select 'templated_subject' as code from m where siblings >= 5 union all select 'weak_subject' from m where {weak} is not null union all select 'no_project' from m where project is null union all select 'long_body' from m where length(body) > 2000) group by code",
+        "quality_warnings": f"with {siblings}, {_pool(8, skip=True)}, m as (select m.*, s.siblings from memories m join sib s on s.id = m.id) select code, count(*) as n from (select 'templated_subject' as code from m where siblings >= 5 union all select 'weak_subject' from m where {weak} is not null union all select 'no_project' from m where project is null union all select 'near_duplicate' from (select distinct query_id from pool p join memories o on o.id = p.id where p.cosine >= 0.95 and o.superseded_by is distinct from p.query_id) union all select 'long_body' from m where length(body) > 2000) group by code",
         "vector_models": "select embedding_model, len(embedding) as dimensions, count(*) as n from memories where embedding is not null group by 1, 2",
         "vocabulary_violations": "with r as (select 'noun_type' as rule from memories where noun_type not in ('person', 'place', 'project', 'thing') union all select 'origin' from memories where origin not in ('contribution', 'discovery', 'recycle') union all select 'id' from memories where id is null union all select 'node_key' from (select count(*) over (partition by node_key) as n from memories where node_key is not null) where n > 1) select rule, count(*) as n from r group by rule",
         "citation_cases": f"with {_CASES} select query_id, expected from cases",
@@ -245,6 +288,31 @@ def oracle_sql() -> dict[str, str]:
             "and len(list_filter(a.embedding, lambda x: isfinite(x))) = len(a.embedding) and len(list_filter(b.embedding, lambda x: isfinite(x))) = len(b.embedding) and len(list_filter(a.embedding, lambda x: x <> 0)) > 0 and len(list_filter(b.embedding, lambda x: x <> 0)) > 0) "
             "select query_id, expected, round(c, 6) as cosine, c < (select quantile_cont(c, 0.5) from p) as hard from p"
         ),
+        "policy_changes": _moved(dict(use=0.0, temporal=False, supersession=False), {}, "select count(*) as n, count(*) filter (y < x) as better, count(*) filter (y > x) as worse, count(*) filter (y <> x) as changed from moved"),
+        "use_signal_readiness": _moved(
+            {}, dict(success=0.3),
+            "select *, case when n = 0 then 'no cases' when changed = 0 then 'not answerable' when better > worse then 'answerable' else 'harmful' end as verdict from (select count(*) as n, count(*) filter (y < x) as better, count(*) filter (y > x) as worse, count(*) filter (y <> x) as changed, "
+            "(select count(*) from memories where not coalesce(archived, false) and success_count > 0) as marked from moved)",
+        ),
+        "lens_bench": _lens_bench(),
+        "exchange_pairing": (
+            "with d as (select doc_id, string_split(regexp_replace(text, '\\n\\n((?:user|assistant|Q|A): )', chr(63743) || '\\1', 'g'), chr(63743)) as x from documents where text is not null), p as (select doc_id, unnest(x) as x, unnest(range(len(x))) as turn from d), "
+            "t as (select doc_id, turn, regexp_extract(x, '^(user|assistant|Q|A): ', 1) as mark, regexp_replace(x, '^(user|assistant|Q|A): ', '') as text from p), u as (select doc_id, turn, text, mark in ('user', 'Q') as asks from t where mark <> ''), "
+            "n as (select q.doc_id, q.turn, any_value(q.text) as prompt, min(a.turn) as next from u q join u a on a.doc_id = q.doc_id and a.turn > q.turn and not a.asks where q.asks group by 1, 2) "
+            "select n.doc_id as conv_id, n.turn, length(prompt) as prompt_chars, length(a.text) as answer_chars from n join u a on a.doc_id = n.doc_id and a.turn = n.next"
+        ),
+        "doorway_centroids": (
+            f"with {_EVENTS}, s as (select list_sort(list_distinct(list_transform(shown, lambda s: s.id)[1:3])) as m from ev), k as (select substring(sha256(array_to_string(list_transform(m, lambda x: cast(x as varchar)), ',')), 1, 16) as key, any_value(m) as m, count(*) as qc from s where len(m) >= 2 group by 1), "
+            "e as (select key, qc, unnest(m) as id from k), v as (select e.key, e.qc, embedding::double[] as v, coalesce(embedding_model, '') || '|' || len(embedding) as sp from e join memories using (id) where embedding is not null), "
+            "w as (select key, sp, row_number() over (partition by key order by count(*) desc, sp) as n from v group by key, sp), "
+            "u as (select v.* from v join w using (key, sp) where n = 1 and len(v) > 0 and len(list_filter(v, lambda x: isfinite(x))) = len(v) and len(list_filter(v, lambda x: x <> 0)) > 0), "
+            "x as (select key, qc, unnest(v) as x, unnest(range(len(v))) as p from u), c as (select key, qc, p, round(avg(x), 5) as a from x group by 1, 2, 3) select key, qc as query_count, list(a order by p) as centroid from c group by key, qc"
+        ),
+        "period_summaries": (
+            "with t as (select strftime(make_timestamp(epoch_us(created_at)), '%Y-%m-%dT%H') as hour, id, project, subject from memories where origin is distinct from 'recycle' and not coalesce(archived, false) and epoch_us(created_at) between 1705276800000000 - 365 * 86400000000 and 1705276800000000), "
+            "g as (select hour, count(*) as n from t group by hour having count(*) between 2 and 60 order by hour desc limit 1000), r as (select t.*, g.n, row_number() over (partition by hour order by id) as p from t join g using (hour)) "
+            "select 'period|' || hour as node_key, 'Session summary: ' || hour as subject, 'Projects touched: ' || array_to_string(list_sort(list_distinct(list(coalesce(project, '(none)')))), ', ') || chr(10) || chr(10) || string_agg('- [' || id || '] ' || coalesce(project, '(none)') || ': ' || coalesce(subject, ''), chr(10) order by p) as body, any_value(n) as members from r where p <= 40 group by hour"
+        ),
         "policy_ladder": (
             f"with {_CASES}, {_pool(40, asked='id in (select query_id from cases)', skip=True)}, "
             + ", ".join(_scored(**kw, name=f"s_{name}") for name, kw in _LADDER.items())

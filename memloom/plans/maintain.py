@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memloom.operators import doorways, graph, lifecycle, loops, topics
+from memloom.operators import doorways, graph, ingest, lifecycle, loops, topics
 from memloom.sources.providers import Budget
 from memloom.sources.state import State
 
@@ -32,8 +32,21 @@ def consolidate(state: State, as_of: Column, decay: float = 0.95, days: int = 7)
     return state.changed(memories=done, edges=edges, log=state["log"].limit(0)), counts
 
 
-def dream(state: State, as_of: Column, extractor, budget: Budget, batch: int = 40) -> tuple[State, Report]:
-    """One offline pass: age doorways; if rows are unread, read batches and tag them; backfill; refresh; write summaries.
+def with_summaries(memories: DataFrame, rows: DataFrame) -> DataFrame:
+    """The memories with the summaries as rows of their own; a summary that one replaces is archived and names its successor."""
+    blank = [F.lit(None).cast(kind).alias(c) for c, kind in memories.dtypes if c not in rows.columns and c not in ("id", "archived", "weight", "access_count")]
+    new = rows.withColumn("id", F.xxhash64("node_key")).select("*", *blank, F.lit(False).alias("archived"), F.lit(1.0).alias("weight"), F.lit(0).cast("long").alias("access_count"))
+    new = ingest.with_new_ids(new, memories)
+    gone = new.where("replaces is not null").groupBy(F.col("replaces").alias("id")).agg(F.max("id").alias("_by"))
+    kept = memories.join(gone, "id", "left").withColumns({"superseded_by": F.coalesce("_by", "superseded_by"), "archived": F.when(F.col("_by").isNotNull(), F.lit(True)).otherwise(F.col("archived"))})
+    return kept.select(*memories.columns).unionByName(new.select(*[F.col(c).cast(kind).alias(c) for c, kind in memories.dtypes]))
+
+
+def dream(state: State, as_of: Column, extractor, budget: Budget, batch: int = 40, consolidate_too: bool = False) -> tuple[State, Report]:
+    """One offline pass: age doorways; if rows are unread, read batches and tag them; backfill; refresh; write summaries of topics and hours.
+
+    The state that comes in is never changed, so an error anywhere leaves it as it was.
+    With ``consolidate_too`` the result is consolidated last.
 
     ``extractor`` maps (mark_of, batch_no, id, subject, body) to (mark_of, batch_no, id,
     term); each batch costs one call of the budget.  Without unread rows only promotion
@@ -64,7 +77,11 @@ def dream(state: State, as_of: Column, extractor, budget: Budget, batch: int = 4
     out = state.changed(doorways=ways, topics=known, tags=tags, marks=marks)
     if counts["unread"]:
         due = topics.due_summaries(topics.summary_members(tags, memories), memories)
-        out = out.changed(summaries=topics.summary_rows(due, as_of))
+        hours = topics.period_groups(memories, as_of, newest=min(2, budget.take(2)))
+        written = topics.summary_rows(due, as_of).unionByName(topics.period_rows(hours, memories, as_of))
+        out = out.changed(summaries=written, memories=with_summaries(memories, written), doorways=doorways.of_periods(ways, hours, memories, as_of))
+    if consolidate_too:
+        out, _ = consolidate(out, as_of)
     return out, Report(counts)
 
 

@@ -65,9 +65,11 @@ def save(state: State, spark: SparkSession, root: str, partition: dict[str, list
     out.write(bytearray(str(n).encode()))
     out.close()
     _, old = _fs(spark, f"{root}/CURRENT")
-    if fs.exists(old):
-        fs.delete(old, False)
-    fs.rename(new, old)
+    # One step replaces the pointer, so a reader sees the old version or the new one.
+    jvm = spark.sparkContext._jvm
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), spark.sparkContext._jsc.hadoopConfiguration()).rename(new, old, options)
     return n
 
 

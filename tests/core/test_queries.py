@@ -4,6 +4,8 @@ from memloom import catalog, oracles
 from tests.core.oracle import assert_same, views
 
 SQL = oracles.oracle_sql()
+#: The test tables hold no secrets.
+EMPTY = {"redaction_counts", "redaction_counts_save"}
 
 
 @pytest.fixture(scope="module")
@@ -18,8 +20,8 @@ def test_query_equals_oracle(spark, sf, con, name):
 
 @pytest.mark.parametrize("name", sorted(set(catalog.queries()) - set(SQL)))
 def test_query_runs(spark, sf, name):
-    df = catalog.queries()[name](spark, sf)
-    assert df.columns and df.count() >= 0
+    rows = catalog.queries()[name](spark, sf).collect()
+    assert bool(rows) == (name not in EMPTY) and len({str(r) for r in rows}) == len(rows)
 
 
 def test_every_oracle_has_a_query():

@@ -106,10 +106,19 @@ def test_search_in_several_query_blocks(spark, monkeypatch):
     df = spark.createDataFrame(rows, VEC)
     asked = df.withColumnRenamed("id", "query_id")
     want = sorted(map(tuple, search.top_k(df, asked, 4).collect()))
-    monkeypatch.setattr(search, "QUERY_BLOCK", 7)
+    monkeypatch.setattr(search, "QUERY_BYTES", 100)
+    monkeypatch.setattr(search, "BLOCKS_A_SCAN", 3)
+    monkeypatch.setattr(search, "ROWS", 5)
     assert sorted(map(tuple, search.top_k(df, asked, 4).collect())) == want
 
 
+def test_repeated_ids_take_one_place(spark):
+    rows = [(1, [1.0, 0.01 * i], "m") for i in range(20)] + [(2, [1.0, 0.5], "m"), (3, [0.5, 1.0], "m"), (4, [-1.0, 0.0], "m")]
+    asked = spark.createDataFrame([(100, [1.0, 0.0], "m")], "query_id long, embedding array<float>, embedding_model string")
+    got = search.top_k(spark.createDataFrame(rows, VEC).coalesce(1), asked, 3).orderBy("pos").collect()
+    assert [(r["id"], r["pos"]) for r in got] == [(1, 1), (2, 2), (3, 3)] and got[0]["cosine"] == 1.0
+
+
 def test_filters_resolve_aliases_and_keep_null_origins(spark):
     m = spark.createDataFrame([(1, "a", "x", None), (2, "b", "x", "recycle"), (3, "a", "y", "discovery")], "id long, project string, tier string, origin string")
     aliases = spark.createDataFrame([("AA", "a")], "alias string, canonical string")

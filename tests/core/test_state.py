@@ -98,6 +98,10 @@ def test_fold_and_unfold(spark):
     assert json.loads(back[1]["json"]) == {"shop": {"name": "x", "open": True, "tables": 4, "days": ["mo", {"tu": None}]}} and json.loads(back[4]["json"]) == 5
     assert back[5]["redacted"] == ["k"] and set(back) == {1, 4, 5}
     assert jsonfold.fold(rows, "id", "j", max_nodes=2).where("id = 1").count() == 2
+    deep = "".join('{"a": [' for _ in range(12)) + "7" + "]}" * 12
+    got = jsonfold.fold(spark.createDataFrame([(1, deep)], "id long, j string"), "id", "j").collect()
+    assert [(r["path"], r["value"]) for r in got] == [(".".join(["a[0]"] * 12), "7")]
+    assert jsonfold.steps("a.b[0][12].c") == ["a", "b", 0, 12, "c"]
 
 
 def test_projects(spark):
@@ -110,6 +114,9 @@ def test_projects(spark):
     texts = spark.createDataFrame([(1, "x", "about alpha-beta", None), (2, "x", "alphabeta AB.", None), (3, "x", "cab", "own")], "id long, subject string, body string, project string")
     vocab = projects.vocabulary(p, a.where("false").unionByName(spark.createDataFrame([("ABC", "alpha-beta", T)], a.schema)))
     assert {(r["id"], r["canonical"]) for r in projects.mentions(texts, vocab).collect()} == {(1, "alpha-beta")}
+    terms = spark.createDataFrame([("one two three four five six seven", "long"), ("a\\Eb", "quoted"), ("проект", "letters"), ("_mill", "mark")], "term string, canonical string")
+    said = spark.createDataFrame([(1, "One two three four five six SEVEN.", None), (2, None, "x a\\Eb y"), (3, "Проект", ""), (4, "old_mill", None), (5, "seven six", "a b"), (None, "one", None)], "id long, subject string, body string")
+    assert {(r["id"], r["canonical"]) for r in projects.mentions(said, terms).collect()} == {(1, "long"), (2, "quoted"), (3, "letters")}
     assert {r["id"]: (r["primary"], r["method"]) for r in projects.classified(texts, vocab).collect()} == {1: ("alpha-beta", "context"), 2: (None, "fallback"), 3: ("own", "context")}
     links = spark.createDataFrame([(1, "p", "odd", 0.5), (1, "p", "mentions", 0.9), (1, "p", "primary", 0.1)], "memory_id long, project string, role string, confidence double")
     got = [(r["role"], r["confidence"]) for r in projects.links_of(projects.linked(links.limit(0), links), spark.createDataFrame([(1,)], "id long")).orderBy("n").collect()]
@@ -196,8 +203,18 @@ def test_models_do_not_mix(spark):
 
 
 def test_bootstrap_and_overlap(spark):
-    assert evaluate.bootstrap_no_lift([], []) == 1.0
-    assert evaluate.bootstrap_no_lift([0] * 10, [1] * 10, 50) == 0.0 and evaluate.bootstrap_no_lift([1] * 5, [1] * 5, 50) == 1.0
+    import numpy as np
+
+    assert evaluate.no_lift(np.array([])) == 1.0
+    assert evaluate.no_lift(np.array([1] * 10), 50) == 0.0 and evaluate.no_lift(np.array([0] * 5), 50) == 1.0
+    state, states = evaluate.LCG_START, []
+    for _ in range(37):
+        state = (evaluate.LCG_FACTOR * state + evaluate.LCG_STEP) % 2**64
+        states.append(state)
+    assert [int(x) for x in evaluate._draws(37)] == states
+    cases = spark.createDataFrame([(g, i, i, False, g == "up" or i % 2 == 0) for g in ("up", "half") for i in range(8)], "g string, a int, b int, cold boolean, warm boolean")
+    got = {r["g"]: (r["n"], r["cold"], r["warm"], r["no_lift"]) for r in evaluate.lift_test(cases, "g", 100).collect()}
+    assert got["up"] == (8, 0.0, 1.0, 0.0) and got["half"][:3] == (8, 0.0, 0.5)
     q = spark.createDataFrame([(1, "the market street façade repair", "Market Street façade job"), (2, "who owns it", "other")], "id long, question string, answer string")
     assert {r["id"]: r["kept"] for r in evaluate.overlap_gate(q).collect()} == {1: False, 2: True}
 
