@@ -111,6 +111,22 @@ def _average(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(_product, "a long, b long, avg double")
 
 
+def _weighed(rows: DataFrame) -> DataFrame:
+    """(node, space, n, sums) of the rows (node, space, n, vec): their unit vectors times their numbers of copies."""
+
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sums = [_sums(v, n).tobytes() for v, n in zip(b.column("vec").to_pylist(), b.column("n").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("node"), b.column("space"), b.column("n"), pa.array(sums, pa.binary())], ["node", "space", "n", "sums"])
+
+    return rows.select("node", "space", "n", "vec").mapInArrow(weigh, "node long, space string, n long, sums binary")
+
+
+def _sums(vec: bytes, n: int) -> np.ndarray:
+    v = np.frombuffer(vec, np.float32).astype(np.float64)
+    return v / np.linalg.norm(v) * n
+
+
 def _added(rows: DataFrame) -> DataFrame:
     """(node, space, n, sums): sizes and sums of the rows of each node added up, first within each part of the input."""
 
@@ -177,7 +193,7 @@ def link(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFram
 
 
 def linkage(nodes: DataFrame, edges: DataFrame, threshold: float, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """(node, root) of every node that was merged; nodes has node, space, n, sums and open, edges a < b.
+    """(node, root) of every node that was merged; nodes has node, space, n, vec and open, edges a < b.
 
     open: the node had more partners than the edges show.
     """
@@ -187,8 +203,8 @@ def linkage(nodes: DataFrame, edges: DataFrame, threshold: float, local_nodes: i
     placed = nodes.join(roots, "node")
     tagged = edges.join(roots.select(F.col("node").alias("a"), "root"), "a")
     small = (
-        placed.join(big, "root", "left_anti").select("root", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "sums")
-        .unionByName(tagged.join(big, "root", "left_anti").select("root", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("sums")))
+        placed.join(big, "root", "left_anti").select("root", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "vec")
+        .unionByName(tagged.join(big, "root", "left_anti").select("root", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("vec")))
     )
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -199,19 +215,22 @@ def linkage(nodes: DataFrame, edges: DataFrame, threshold: float, local_nodes: i
             near = np.zeros((border, border), dtype=bool)
             i, j = np.searchsorted(ids, links["a"].combine_chunks().to_numpy()), np.searchsorted(ids, links["b"].combine_chunks().to_numpy())
             near[i, j] = near[j, i] = True
-            root = rounds(rows_of_binary(own["sums"].combine_chunks(), np.float64), own["n"].combine_chunks().to_numpy(), near, threshold)
+            size = own["n"].combine_chunks().to_numpy()
+            root = rounds(vectors.unit_rows(own["vec"].combine_chunks()) * size[:, None], size, near, threshold)
             moved = root != np.arange(border)
             yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["node", "root"])
 
     done = cut(small.repartition("root").sortWithinPartitions("root", "kind", "a").mapInArrow(solve, "node long, root long"))
     if not big.isEmpty():
-        mine = placed.join(big, "root", "left_semi").select("node", "space", "n", "sums")
-        far, _ = link(mine, tagged.join(big, "root", "left_semi").select("a", "b"), threshold)
+        far, _ = link(_weighed(placed.join(big, "root", "left_semi")), tagged.join(big, "root", "left_semi").select("a", "b"), threshold)
         done = cut(done.unionByName(far))
     # What the graph cannot show: pairs of clusters that both had a member with more partners than its links.
     hidden = nodes.join(done, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.max("open").alias("open")).where("open").select("node")
+    hidden = cut(hidden)
     while not hidden.isEmpty():
-        left = cut(_merged(nodes.select("node", "space", "n", "sums"), done).join(hidden, "node", "left_semi"))
+        roots_of = nodes.join(done, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        own = _weighed(roots_of.join(hidden.withColumnRenamed("node", "root"), "root", "left_semi").select(F.col("root").alias("node"), "space", "n", "vec"))
+        left = cut(_added(own))
         again = _similar_means(left, threshold)
         step, _ = link(left, again, threshold)
         if step.isEmpty():
@@ -248,27 +267,20 @@ class Links:
     def __init__(self, df: DataFrame, threshold: float, id_col: str = "id", vec_col: str = "embedding", model_col: str = "embedding_model") -> None:
         self.threshold = threshold
         self.usable = vectors.one_vector(vectors.prepared(df, id_col, vec_col, model_col))
-        found = cut(vectors.compare_lists(vectors.units(self.usable), threshold, LINKS, degrees=True))
-        self.degrees = found.where("dst is null").groupBy(F.col("src").alias("unit")).agg(F.sum("cos").cast("long").alias("partners"))
+        self.distinct = cut(vectors.units(self.usable))
+        found = cut(vectors.compare_lists(self.distinct, threshold, LINKS, degrees=True))
+        self.degrees = cut(found.where("dst is null").groupBy(F.col("src").alias("unit")).agg(F.sum("cos").cast("long").alias("partners")))
         self.links = cut(vectors.best_links(found, LINKS).select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct())
-        self.same = vectors.copies(self.usable)
+        self.same = cut(vectors.copies(self.usable))
 
     def units(self) -> DataFrame:
         """(unit, space, copies, vec, perm, q) of every distinct vector."""
-        return vectors.units(self.usable).select(F.col("id").alias("unit"), "space", "copies", "vec", "perm", F.size("posts").alias("q"))
+        return self.distinct.select(F.col("id").alias("unit"), "space", "copies", "vec", "perm", F.size("posts").alias("q"))
 
     def nodes(self) -> DataFrame:
-        """(node, space, n, sums, open) of the distinct vectors that have a partner or a copy."""
-
-        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                vec = [np.frombuffer(x, np.float32).astype(np.float64) for x in b.column("vec").to_pylist()]
-                sums = [(v / np.linalg.norm(v) * n).tobytes() for v, n in zip(vec, b.column("n").to_pylist())]
-                yield pa.RecordBatch.from_arrays([b.column("node"), b.column("space"), b.column("n"), pa.array(sums, pa.binary()), b.column("open")], ["node", "space", "n", "sums", "open"])
-
+        """(node, space, n, vec, open) of the distinct vectors that have a partner or a copy."""
         own = self.units().join(self.degrees, "unit", "left").where("partners > 0 or copies > 1")
-        own = own.select(F.col("unit").alias("node"), "space", F.col("copies").alias("n"), "vec", F.coalesce(F.col("partners") > LINKS, F.lit(False)).alias("open"))
-        return own.mapInArrow(weigh, "node long, space string, n long, sums binary, open boolean")
+        return own.select(F.col("unit").alias("node"), "space", F.col("copies").alias("n"), "vec", F.coalesce(F.col("partners") > LINKS, F.lit(False)).alias("open"))
 
     def rows(self, members: DataFrame) -> DataFrame:
         """(root, unit, id): the members (root, unit) with every copy of their vectors."""
@@ -284,11 +296,12 @@ def clusters(df: DataFrame, threshold: float = 0.80, typical: int = 3, label_col
     partner, are in no cluster; an id with several vectors takes part with one of them.
     """
     g = Links(df, threshold, **cols)
-    nodes = cut(g.nodes())
+    nodes = g.nodes()
     roots = linkage(nodes, g.links, threshold)
-    placed = nodes.join(roots, "node", "left").select(F.coalesce("root", "node").alias("root"), "node", "space", "n", "sums")
-    whole = cut(_added(placed.select(F.col("root").alias("node"), "space", "n", "sums")).where("n > 1"))
-    both = placed.select("root", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sums").alias("sa")).join(whole.select(F.col("node").alias("root"), F.col("n").alias("nb"), F.col("sums").alias("sb")), "root")
+    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    whole = cut(_added(_weighed(placed.select(F.col("root").alias("node"), "space", "n", "vec"))).where("n > 1"))
+    own = _weighed(nodes).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    both = own.select("root", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sums").alias("sa")).join(whole.select(F.col("node").alias("root"), F.col("n").alias("nb"), F.col("sums").alias("sb")), "root")
     near = both.select(F.col("root").alias("b"), "a", "na", "nb", "sa", "sb").mapInArrow(_product, "a long, b long, avg double").select(F.col("a").alias("unit"), F.col("b").alias("root"), "avg")
     rows = g.rows(near).join(near.select("unit", "avg"), "unit").select("root", "id", "avg")
     size = rows.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("cluster_id"))
@@ -345,7 +358,7 @@ def closed_pairs(df: DataFrame, threshold: float = 0.80, least: int = 3, **cols:
     threshold than the index shows inside has one outside.
     """
     g = Links(df, threshold, **cols)
-    roots = linkage(cut(g.nodes()), g.links, threshold)
+    roots = linkage(g.nodes(), g.links, threshold)
     units = g.units().join(g.degrees, "unit", "left").where("partners > 0 or copies > 1")
     placed = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
     size = placed.groupBy("root").agg(F.sum("copies").alias("records"), F.count("*").alias("n")).where(F.col("records") >= least)
