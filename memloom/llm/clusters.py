@@ -13,6 +13,9 @@ their mean vectors, and the rounds go on with the pairs found.  An average at th
 threshold needs means whose cosine reaches it, so the look-up misses none but for the
 recall of the index.
 
+A closed cluster is checked where it was put together: every two members exactly, and
+the number of partners each member has inside against all that the index shows it.
+
 Merges of one connected component never depend on another one, so components of up
 to LOCAL_NODES nodes run their rounds inside one task; larger ones run the same
 rounds as jobs over the whole cluster.  The results are equal.
@@ -192,20 +195,41 @@ def link(nodes: DataFrame, edges: DataFrame, threshold: float) -> tuple[DataFram
         edges = cut(edges.join(ra, "a", "left").join(rb, "b", "left").where(x != y).select(F.least(x, y).alias("a"), F.greatest(x, y).alias("b")).distinct())
 
 
-def linkage(nodes: DataFrame, edges: DataFrame, threshold: float, local_nodes: int = LOCAL_NODES) -> DataFrame:
-    """(node, root) of every node that was merged; nodes has node, space, n, vec and open, edges a < b.
-
-    open: the node had more partners than the edges show.
+def _inside(unit: np.ndarray, post: np.ndarray, threshold: float) -> np.ndarray | None:
+    """How many others of one cluster the index shows each member; None where a pair is below the threshold."""
+    seen = np.zeros(len(unit), dtype=np.int64)
+    for i in range(0, len(unit), vectors.TILE):
+        a = np.arange(i, min(i + vectors.TILE, len(unit)))
+        others = a[:, None] < np.arange(len(unit))[None, :]
+        if ((unit[a] @ unit.T).round(9) < threshold)[others].any():
+            return None
+        r, c = np.nonzero(others)
+        r = a[r]
+        share = vectors.share_list(post[r], post[c], 1 << 15)
+        seen += np.bincount(r[share], minlength=len(unit)) + np.bincount(c[share], minlength=len(unit))
+    return seen
+
+
+def linkage(units: DataFrame, edges: DataFrame, degrees: DataFrame, threshold: float, local_nodes: int = LOCAL_NODES) -> DataFrame:
+    """(node, root, avg, seen, whole) of every node with an edge.
+
+    units has unit, space, copies, vec, perm, q; edges a < b; degrees unit, partners.
+    avg: average cosine to the records of its cluster.  whole: every two members are at
+    the threshold or more; seen: how many of the others the index shows.  avg, seen and
+    whole are null where a cluster was not put together inside one task.
     """
     roots = components(edges)
     sizes = roots.groupBy("root").agg(F.count("*").alias("k"))
     big = cut(sizes.where(F.col("k") > local_nodes).select("root"))
-    placed = nodes.join(roots, "node")
+    # A node with more partners than links may have a cluster partner that the edges do not show.
+    info = cut(roots.join(degrees.select(F.col("unit").alias("node"), (F.col("partners") > LINKS).alias("open")), "node", "left").fillna(False, ["open"]))
+    placed = units.select(F.col("unit").alias("node"), "space", F.col("copies").alias("n"), "vec", "perm", "q").join(info, "node")
     tagged = edges.join(roots.select(F.col("node").alias("a"), "root"), "a")
+    none = lambda kind, name: F.lit(None).cast(kind).alias(name)
     small = (
-        placed.join(big, "root", "left_anti").select("root", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "n", "vec")
-        .unionByName(tagged.join(big, "root", "left_anti").select("root", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("long").alias("n"), F.lit(None).cast("binary").alias("vec")))
-    )
+        placed.join(F.broadcast(big), "root", "left_anti").select("root", F.lit(0).alias("kind"), F.col("node").alias("a"), none("long", "b"), "space", "n", "vec", "perm", "q", "open")
+        .unionByName(tagged.join(F.broadcast(big), "root", "left_anti").select("root", F.lit(1).alias("kind"), "a", "b", none("string", "space"), none("long", "n"), none("binary", "vec"), none("binary", "perm"), none("int", "q"), none("boolean", "open")))
+    )  # fmt: skip  # a big component has more than LOCAL_NODES nodes, so ``big`` has a row for each of these at most
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in groups(batches, ["root"]):
@@ -215,29 +239,51 @@ def linkage(nodes: DataFrame, edges: DataFrame, threshold: float, local_nodes: i
             near = np.zeros((border, border), dtype=bool)
             i, j = np.searchsorted(ids, links["a"].combine_chunks().to_numpy()), np.searchsorted(ids, links["b"].combine_chunks().to_numpy())
             near[i, j] = near[j, i] = True
-            size = own["n"].combine_chunks().to_numpy()
-            root = rounds(vectors.unit_rows(own["vec"].combine_chunks()) * size[:, None], size, near, threshold)
-            moved = root != np.arange(border)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[moved]), pa.array(ids[root[moved]])], ["node", "root"])
-
-    done = cut(small.repartition("root").sortWithinPartitions("root", "kind", "a").mapInArrow(solve, "node long, root long"))
+            size, unit = own["n"].combine_chunks().to_numpy(), vectors.unit_rows(own["vec"].combine_chunks())
+            post = rows_of_binary(own["perm"].combine_chunks(), np.int16)[:, : own["q"][0].as_py()]
+            open_, space = np.array(own["open"].to_pylist()), own["space"][0].as_py()
+            root = rounds(unit * size[:, None], size, near, threshold)
+            avg, seen, whole = np.empty(border), np.zeros(border, dtype=np.int64), np.ones(border, dtype=bool)
+            number, sums = np.zeros(border, dtype=np.int64), [None] * border
+            for at in np.unique(root):
+                here = np.flatnonzero(root == at)
+                total = (unit[here] * size[here, None]).sum(axis=0)
+                number[at] = size[here].sum()
+                avg[here] = unit[here] @ total / number[at]
+                if open_[here].any():
+                    sums[at] = total.tobytes()
+                inside = _inside(unit[here], post[here], threshold)
+                if inside is None:
+                    whole[here] = False
+                else:
+                    seen[here] = inside
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(ids[root]), pa.array(avg), pa.array(seen), pa.array(whole), pa.array([space] * border), pa.array(number), pa.array(sums, pa.binary())],
+                ["node", "root", "avg", "seen", "whole", "space", "n", "sums"],
+            )
+
+    solved = cut(small.repartition("root").sortWithinPartitions("root", "kind", "a").mapInArrow(solve, "node long, root long, avg double, seen long, whole boolean, space string, n long, sums binary"))
+    # Clusters that may have a partner the edges do not show: with their sizes and sums.
+    hidden = solved.where("sums is not null").select("node", "space", "n", "sums")
+    state = solved.select("node", "root", "avg", "seen", "whole")
     if not big.isEmpty():
-        far, _ = link(_weighed(placed.join(big, "root", "left_semi")), tagged.join(big, "root", "left_semi").select("a", "b"), threshold)
-        done = cut(done.unionByName(far))
-    # What the graph cannot show: pairs of clusters that both had a member with more partners than its links.
-    hidden = nodes.join(done, "node", "left").groupBy(F.coalesce("root", "node").alias("node")).agg(F.max("open").alias("open")).where("open").select("node")
-    hidden = cut(hidden)
+        mine = cut(_weighed(placed.join(F.broadcast(big), "root", "left_semi")))
+        far, left = link(mine, tagged.join(F.broadcast(big), "root", "left_semi").select("a", "b"), threshold)
+        far = mine.select("node").join(far, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        wanting = far.join(info.where("open").select("node"), "node", "left_semi").select(F.col("root").alias("node")).distinct()
+        hidden = hidden.unionByName(left.join(wanting, "node", "left_semi"))
+        state = state.unionByName(far.select("node", "root", none("double", "avg"), none("long", "seen"), none("boolean", "whole")))
+    hidden, up = cut(hidden), None
     while not hidden.isEmpty():
-        roots_of = nodes.join(done, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        own = _weighed(roots_of.join(hidden.withColumnRenamed("node", "root"), "root", "left_semi").select(F.col("root").alias("node"), "space", "n", "vec"))
-        left = cut(_added(own))
-        again = _similar_means(left, threshold)
-        step, _ = link(left, again, threshold)
+        step, hidden = link(hidden, _similar_means(hidden, threshold), threshold)
         if step.isEmpty():
             break
-        done = cut(_followed(done, step))
-        hidden = cut(hidden.join(step.select("node"), "node", "left_anti"))
-    return done
+        up = cut(_followed(up, step))
+    if up is not None:
+        moved = up.select(F.col("node").alias("root"), F.col("root").alias("to")).unionByName(up.select("root", F.col("root").alias("to")).distinct())
+        kept = F.col("to").isNull()
+        state = state.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"), *[F.when(kept, F.col(c)).alias(c) for c in ("avg", "seen", "whole")])
+    return cut(state)
 
 
 def _similar_means(nodes: DataFrame, threshold: float) -> DataFrame:
@@ -277,10 +323,12 @@ class Links:
         """(unit, space, copies, vec, perm, q) of every distinct vector."""
         return self.distinct.select(F.col("id").alias("unit"), "space", "copies", "vec", "perm", F.size("posts").alias("q"))
 
-    def nodes(self) -> DataFrame:
-        """(node, space, n, vec, open) of the distinct vectors that have a partner or a copy."""
-        own = self.units().join(self.degrees, "unit", "left").where("partners > 0 or copies > 1")
-        return own.select(F.col("unit").alias("node"), "space", F.col("copies").alias("n"), "vec", F.coalesce(F.col("partners") > LINKS, F.lit(False)).alias("open"))
+    def members(self) -> DataFrame:
+        """(unit, root, copies, avg, seen, whole, partners) of every distinct vector with a link or a copy."""
+        state = linkage(self.units(), self.links, self.degrees, self.threshold).withColumnRenamed("node", "unit")
+        many = self.same.where("id = unit").select("unit", F.col("n").alias("copies"))
+        alone = many.select("unit").join(state, "unit", "left_anti").select("unit", F.col("unit").alias("root"), F.lit(1.0).alias("avg"), F.lit(0).cast("long").alias("seen"), F.lit(True).alias("whole"))
+        return state.unionByName(alone).join(many, "unit", "left").join(self.degrees, "unit", "left").fillna(1, ["copies"]).fillna(0, ["partners"])
 
     def rows(self, members: DataFrame) -> DataFrame:
         """(root, unit, id): the members (root, unit) with every copy of their vectors."""
@@ -296,13 +344,15 @@ def clusters(df: DataFrame, threshold: float = 0.80, typical: int = 3, label_col
     partner, are in no cluster; an id with several vectors takes part with one of them.
     """
     g = Links(df, threshold, **cols)
-    nodes = g.nodes()
-    roots = linkage(nodes, g.links, threshold)
-    placed = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    whole = cut(_added(_weighed(placed.select(F.col("root").alias("node"), "space", "n", "vec"))).where("n > 1"))
-    own = _weighed(nodes).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    both = own.select("root", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sums").alias("sa")).join(whole.select(F.col("node").alias("root"), F.col("n").alias("nb"), F.col("sums").alias("sb")), "root")
-    near = both.select(F.col("root").alias("b"), "a", "na", "nb", "sa", "sb").mapInArrow(_product, "a long, b long, avg double").select(F.col("a").alias("unit"), F.col("b").alias("root"), "avg")
+    members = cut(g.members())
+    far = members.where("avg is null").select("unit", "root")  # put together by jobs: their averages from the sums
+    own = cut(g.units().join(far, "unit").select(F.col("unit").alias("node"), "root", "space", F.col("copies").alias("n"), "vec"))
+    whole = cut(_added(_weighed(own.select(F.col("root").alias("node"), "space", "n", "vec"))))
+    both = _weighed(own).join(own.select("node", "root"), "node").select("root", F.col("node").alias("a"), F.col("n").alias("na"), F.col("sums").alias("sa")).join(whole.select(F.col("node").alias("root"), F.col("n").alias("nb"), F.col("sums").alias("sb")), "root")
+    late = both.select(F.col("root").alias("b"), "a", "na", "nb", "sa", "sb").mapInArrow(_product, "a long, b long, avg double").select(F.col("a").alias("unit"), F.col("b").alias("root"), "avg")
+    near = members.where("avg is not null").select("unit", "root", "avg").unionByName(late)
+    several = members.groupBy("root").agg(F.sum("copies").alias("records")).where("records > 1").select("root")
+    near = cut(near.join(several, "root", "left_semi"))
     rows = g.rows(near).join(near.select("unit", "avg"), "unit").select("root", "id", "avg")
     size = rows.groupBy("root").agg(F.count("*").alias("size"), F.min("id").alias("cluster_id"))
     order = Window.partitionBy("root").orderBy(F.desc(F.round("avg", 8)), "id")
@@ -358,16 +408,20 @@ def closed_pairs(df: DataFrame, threshold: float = 0.80, least: int = 3, **cols:
     threshold than the index shows inside has one outside.
     """
     g = Links(df, threshold, **cols)
-    roots = linkage(g.nodes(), g.links, threshold)
-    units = g.units().join(g.degrees, "unit", "left").where("partners > 0 or copies > 1")
-    placed = units.join(roots.withColumnRenamed("node", "unit"), "unit", "left").withColumn("root", F.coalesce("root", "unit"))
-    size = placed.groupBy("root").agg(F.sum("copies").alias("records"), F.count("*").alias("n")).where(F.col("records") >= least)
-    size = cut(size)
-    inside = cut(_checked(placed.join(size.select("root"), "root", "left_semi"), size, threshold))
-    seen = inside.where("unit is not null").groupBy("root", "unit").agg(F.sum("n").alias("n"))
-    outside = seen.join(g.degrees, "unit").where(F.col("partners") > F.col("n")).select("root")
-    closed = size.join(inside.where("unit is null").select("root").unionByName(outside).distinct(), "root", "left_anti")
-    rows = cut(g.rows(seen.select("root", "unit").join(closed, "root", "left_semi")).select("root", "id"))
+    members = cut(g.members())
+    size = members.groupBy("root").agg(F.sum("copies").alias("records"), F.count("*").alias("n"), F.count_if(F.col("whole").isNull()).alias("open"), F.min(F.coalesce("whole", F.lit(True))).alias("whole"))
+    size = cut(size.where((F.col("records") >= least) & F.col("whole")))
+    known = members.select("root", "unit", "partners", "seen").join(size.where("open = 0").select("root"), "root", "left_semi")
+    late = size.where("open > 0")
+    if not late.isEmpty():  # clusters put together by jobs are checked in blocks
+        own = members.select("root", "unit", "partners").join(late.select("root"), "root", "left_semi")
+        inside = cut(_checked(g.units().join(own, "unit"), late, threshold))
+        counted = inside.where("unit is not null").groupBy("root", "unit").agg(F.sum("n").alias("seen"))
+        good = own.join(inside.where("unit is null").select("root").distinct(), "root", "left_anti")
+        known = known.unionByName(good.join(counted, ["root", "unit"]).select("root", "unit", "partners", "seen"))
+    known = cut(known)
+    closed = known.groupBy("root").agg(F.max(F.col("partners") > F.col("seen")).alias("outside")).where("not outside").select("root").join(size, "root")
+    rows = cut(g.rows(known.select("root", "unit").join(closed, "root", "left_semi")).select("root", "id"))
     cells = _in_cells(rows, closed.select("root", F.col("records").alias("n")), "id")
     a = cells.where(F.col("block") == F.col("lo")).select("root", "lo", "hi", F.col("id").alias("x"))
     b = cells.where(F.col("block") == F.col("hi")).select("root", "lo", "hi", F.col("id").alias("y"))

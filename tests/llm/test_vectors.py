@@ -141,7 +141,7 @@ def test_average_linkage_equals_brute_force(spark, monkeypatch, seed, local, lin
     v = _chain(seed)
     df = spark.createDataFrame([(i, x.tolist(), "m") for i, x in enumerate(v)], "id long, embedding array<float>, embedding_model string")
     g = clusters.Links(df, 0.8)
-    got = _parts(range(len(v)), clusters.linkage(g.nodes(), g.links, 0.8, local_nodes=local))
+    got = _parts(range(len(v)), clusters.linkage(g.units(), g.links, g.degrees, 0.8, local_nodes=local))
     want = _linkage(v.astype(float), np.ones(len(v)), 0.8)
     together = {tuple(sorted(x)) for x in _parts(range(len(v)), clusters.components(g.links))}
     assert got == want and got != together
