@@ -73,6 +73,15 @@ def test_canonical_values(spark):
     assert {r["canonical"] for r in canon.canonical_rows(df, names.limit(0), aliases).collect()} == {"unmatched"}
 
 
+def test_slips_in_every_word_still_match(spark):
+    second = "lantern passport bridge parcel factory".split()
+    names = [(f"{a}-{b}",) for a in "harbor marble copper golden silver".split() for b in second]
+    slips = {"hrabor lantern": "harbor-lantern", "harbour lantern": "harbor-lantern", "lantern harbor": "harbor-lantern", "mrable psasport": "marble-passport", "copepr brigde": "copper-bridge"}
+    df = spark.createDataFrame(list(enumerate(slips)), "memory_id long, project string")
+    refs = canon.references(spark.createDataFrame(names, "slug string"), spark.createDataFrame([], "alias string, canonical string"), "slug", "alias", "canonical")
+    assert {r["value"]: r["canonical"] for r in canon.match(df, refs, "project").collect()} == slips
+
+
 PEOPLE = [f"{a}{b} {c}{d}" for a in ("Elo", "Fia", "Bran", "Ulr") for b in ("kel", "ric", "nna") for c in ("Skav", "Oltr", "Zelm") for d in ("egger", "inski", "holt")]
 
 
@@ -89,7 +98,8 @@ def _pii_rows():
 @pytest.fixture(scope="module")
 def model(spark):
     df = spark.createDataFrame(_pii_rows(), "id long, body string, person string, kind string")
-    return pii.learn(df.select(F.col("body").alias("text")))
+    weights, facts = pii.learn(df.select(F.col("body").alias("text")))
+    return pii.Disclosure(weights, {r["term"]: r["fact"] for r in facts.collect()})
 
 
 @pytest.mark.parametrize(("text", "kinds"), [
@@ -115,6 +125,27 @@ def test_redaction_keeps_the_rest(spark):
     assert pii.found_kinds(df.limit(0)).count() == 0 and pii.redact(df.limit(0)).count() == 0
 
 
+def test_facts_joined_to_the_texts_give_the_same(spark, monkeypatch):
+    df = spark.createDataFrame(_pii_rows()[:120] + [(7000, "Elokel Skavegger", "Fiaric Oltregger", "x"), (7001, "nothing", "", None)], "id long, body string, person string, kind string")
+    want, clean = {tuple(r) for r in pii.found_kinds(df).collect()}, {tuple(r) for r in pii.redact(df).collect()}
+    monkeypatch.setattr(pii, "MAX_FACTS", 0)
+    assert {tuple(r) for r in pii.found_kinds(df).collect()} == want and {tuple(r) for r in pii.redact(df).collect()} == clean and (7000, "person", "name") in want
+
+
+def test_names_show_without_any_address(spark):
+    rows = [(i, f"Dr. {n} saw the town pump near Limstead, and the Boat Shed stays open late.", None, "x") for i, n in enumerate(PEOPLE)]
+    rows += [(1000 + i, f"The boat shed near Limstead opens early; ask again about the roof in {i} days.", None, "x") for i in range(100)] + [(5000, "Yesterday Branna Skavholt came to the boat shed near Limstead.", None, None)]
+    found = {(r["id"], r["kind"]) for r in pii.found_kinds(spark.createDataFrame(rows, "id long, body string, person string, kind string")).collect()}
+    assert (5000, "name") in found and (0, "name") in found and not [x for x in found if 1000 <= x[0] < 2000]
+
+
+def test_addresses_of_any_length():
+    local, spoken = "a" * 400, " dot ".join(["part"] * 80)
+    for text in (f"write to {local}@box.example now", f"to q@{'d' * 300}.example.org now", f"say {spoken} at box dot example please"):
+        assert [m.group()[-1] != " " for m in pii._emails(text)] == [True]
+    assert max(len(m.group()) for m in pii._emails(f"say {spoken} at box dot example please")) > 600
+
+
 SENTENCES = ["The council of the town moved the old market hall over the weekend.", "Nobody has checked the lighthouse since the storm, so the path is closed.", "We simplified the plan because a late delivery made it slow.", "Visitors to the harbour find the boat shed past a narrow lane.", "It was the quiet clerk that opened the new archive for the choir."]
 
 NOUNS = "council market lighthouse harbour clerk archive choir storm lane roof delivery visitor plan weekend path boat shed hall town pump mill pond bridge library school kiosk".split()
