@@ -152,12 +152,17 @@ def encode(df: DataFrame, ranks: dict[str, int], id_col: str = "doc_id", text_co
     text come out once; an id with several texts once for each.  An empty table
     gives an empty result, other columns are ignored.
     """
+    # The literals would be printed whole into every plan the driver keeps.
+    df.sparkSession.conf.set("spark.sql.maxPlanStringLength", "16384")
     text = F.coalesce(F.col(text_col), F.lit(""))
     docs = cut(df.select(F.col(id_col).alias("id"), F.xxhash64(text, F.lit("text")).alias("h"), pretokens(text).alias("w")))
     distinct = cut(docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")))
     size = F.octet_length("word")
     short = distinct.where(size <= LONG).select("word", "n", encode_word(F.col("word"), _literal(ranks, "int")).alias("ids"))
-    table = cut(short.unionByName(_long_words(distinct.where(size > LONG).select("word", "n"), ranks)))
+    long = distinct.where(size > LONG).select("word", "n")
+    table = cut(short)  # apart from the others, so that only one plan holds the literal
+    if not long.isEmpty():
+        table = table.unionByName(cut(_long_words(long, ranks)))
     frequent = table.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD)
     head = _literal({r["word"]: r["ids"] for r in frequent.select("word", "ids").collect()}, "array<int>")
     known = docs.withColumn("ids", F.transform("w", lambda x: _find(head, x)))
