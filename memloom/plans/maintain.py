@@ -46,7 +46,8 @@ def dream(state: State, as_of: Column, extractor, budget: Budget, batch: int = 4
     """One offline pass: age doorways; if rows are unread, read batches and tag them; backfill; refresh; write summaries of topics and hours.
 
     The state that comes in is never changed, so an error anywhere leaves it as it was.
-    With ``consolidate_too`` the result is consolidated last.
+    With ``consolidate_too`` the result is consolidated last.  Save the state between two
+    passes: each reads the memories several times.
 
     ``extractor`` maps (mark_of, batch_no, id, subject, body) to (mark_of, batch_no, id,
     term); each batch costs one call of the budget.  Without unread rows only promotion
