@@ -420,7 +420,9 @@ def doorway_keys(spark, d):
 def doorway_centroids(spark, d):
     m, ev = tables(spark, d, "memories", "recall_events")
     ways = doorways.recorded(None, _shown_sets(ev), m, as_of())
-    return ways.where("centroid is not null").select("key", "query_count", F.transform("centroid", lambda x: F.round(x.cast("double"), 5)).alias("centroid"))
+    # F.round loses the sign of a mean that rounds to zero and rounds the shortest decimal form instead of the value; SQL does neither.
+    rounded = lambda x: F.signum(x) * (F.round(F.abs(x) * 1e5) / 1e5)
+    return ways.where("centroid is not null").select("key", "query_count", F.transform("centroid", rounded).alias("centroid"))
 
 
 @query

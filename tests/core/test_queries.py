@@ -26,3 +26,10 @@ def test_query_runs(spark, sf, name):
 
 def test_every_oracle_has_a_query():
     assert set(SQL) <= set(catalog.queries())
+
+
+def test_doorway_centroids_equal_their_sql_to_the_sign_of_zero(spark, sf, con):
+    name = "doorway_centroids"
+    want = sorted(map(repr, con.execute(SQL[name]).fetchall()))
+    got = sorted(repr((r["key"], r["query_count"], r["centroid"])) for r in catalog.queries()[name](spark, sf).select("key", "query_count", "centroid").collect())
+    assert got == want and "-0.0," in "".join(want)
