@@ -12,9 +12,10 @@ Words beyond LONG bytes (runs of blanks, text without blanks, encoded data) woul
 that fold quadratic; they are encoded by the same merges with a heap of pairs in an
 Arrow function, in n log n steps.
 
-The HEAD most frequent short words go back into the texts as such a literal too
-(bounded in number and length); all rarer or longer words go through a join.
-No word is left out and no text is shortened.
+The HEAD most frequent short words go back into the texts from a broadcast (bounded in
+number and length) in an Arrow function; all rarer or longer words go through a join.
+No word is left out and no text is shortened.  A literal stands once in one plan only:
+the driver prints each node of every plan it runs or changes and keeps what it printed.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ import os
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +77,11 @@ def pretokens(text: Column) -> Column:
 
 
 def encode_word(word: Column, ranks: Column) -> Column:
-    """ids of one non-empty word."""
+    """ids of one non-empty word; ``ranks`` is bound once, as the fold looks it up in four places."""
+    return _let(ranks, lambda known: _folded(word, known))
+
+
+def _folded(word: Column, ranks: Column) -> Column:
     rank = lambda x: F.coalesce(_find(ranks, x), F.lit(NONE))
     hexed = F.hex(F.encode(word, "utf-8"))
 
@@ -145,6 +152,55 @@ def _long_words(words: DataFrame, ranks: dict[str, int]) -> DataFrame:
     return words.mapInArrow(merge, "word string, n long, ids array<int>")
 
 
+def _placed(docs: DataFrame, head: pa.Table) -> tuple[DataFrame, DataFrame]:
+    """Of the texts (id, h, w): runs (id, h, at, ids) of words in ``head`` (word, ids), and all other words (id, h, at, word).
+
+    A word's place counts from 1; a run has the place of the word before it, or 0.  Every
+    text has a run at 0, which may be empty.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(head.combine_chunks())
+    columns = f"id {docs.schema['id'].dataType.simpleString()}, h long, at long"
+
+    def found(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The start of each text, the row of ``head`` of each word or -1, the places of the latter."""
+        w = b.column("w")
+        known = sent.value["word"].combine_chunks().cast(w.type.value_type)
+        at = pc.fill_null(pc.index_in(w.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False)
+        return w.offsets.to_numpy() - w.offsets[0].as_py(), at, np.flatnonzero(at < 0)
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = sent.value["ids"].combine_chunks()
+        ids, first = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy().astype(np.int64) - lists.offsets[0].as_py()
+        size = np.diff(first)
+        for b in batches:
+            offsets, at, gaps = found(b)
+            doc = np.concatenate([np.arange(b.num_rows), np.searchsorted(offsets, gaps, side="right") - 1])
+            start, end = np.concatenate([offsets[:-1], gaps + 1]), np.concatenate([offsets[1:], gaps])
+            order = np.lexsort((start, doc))
+            start, end, doc = start[order], end[np.lexsort((end, doc))], doc[order]
+            keep = (end > start) | (start == offsets[doc])
+            start, end, doc = start[keep], end[keep], doc[keep]
+            good = at[at >= 0]
+            n = size[good]
+            flat = ids[np.repeat(first[good] - np.concatenate([[0], np.cumsum(n)])[:-1], n) + np.arange(n.sum())]
+            tokens = np.zeros(len(at) + 1, dtype=np.int64)
+            tokens[1:][at >= 0] = n
+            tokens = np.cumsum(tokens)
+            edges = np.concatenate([[0], np.cumsum(tokens[end] - tokens[start])])
+            own = pa.ListArray.from_arrays(pa.array(edges.astype(np.int32)), pa.array(flat.astype(np.int32)))
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("h").take(rows), pa.array((start - offsets[doc]).astype(np.int64)), own], ["id", "h", "at", "ids"])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            offsets, _, gaps = found(b)
+            doc = np.searchsorted(offsets, gaps, side="right") - 1
+            rows = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([b.column("id").take(rows), b.column("h").take(rows), pa.array((gaps - offsets[doc] + 1).astype(np.int64)), b.column("w").flatten().take(pa.array(gaps))], ["id", "h", "at", "word"])
+
+    return docs.mapInArrow(runs, f"{columns}, ids array<int>"), docs.mapInArrow(rare, f"{columns}, word string")
+
+
 def encode(df: DataFrame, ranks: dict[str, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids): token ids of every text, without special tokens, exactly as stored.
 
@@ -164,13 +220,7 @@ def encode(df: DataFrame, ranks: dict[str, int], id_col: str = "doc_id", text_co
     if not long.isEmpty():
         table = table.unionByName(cut(_long_words(long, ranks)))
     frequent = table.where(F.length("word") <= HEAD_CHARS).orderBy(F.desc("n"), "word").limit(HEAD)
-    head = _literal({r["word"]: r["ids"] for r in frequent.select("word", "ids").collect()}, "array<int>")
-    known = docs.withColumn("ids", F.transform("w", lambda x: _find(head, x)))
-    gaps = F.filter(F.transform("ids", lambda x, i: F.when(x.isNull(), i + 1)), lambda i: i.isNotNull())
-    known = known.withColumn("gaps", gaps).withColumn("ends", F.concat(F.array(F.lit(0)), F.col("gaps"), F.array(F.size("w") + 1)))
-    piece = lambda k: F.struct(F.get("ends", k).alias("at"), F.flatten(F.slice("ids", F.get("ends", k) + 1, F.get("ends", k + 1) - F.get("ends", k) - 1)).alias("ids"))
-    runs = known.select("id", "h", F.explode(F.transform(F.sequence(F.lit(0), F.size("ends") - 2), piece)).alias("part")).select("id", "h", "part.at", "part.ids")
-    rare = known.where(F.size("gaps") > 0).select("id", "h", F.explode(F.transform("gaps", lambda g: F.struct(g.alias("at"), F.get("w", g - 1).alias("word")))).alias("g")).select("id", "h", "g.at", "g.word")
+    runs, rare = _placed(docs, frequent.select("word", "ids").toArrow())
     # A run starts one place after a gap, so it carries the gap's place plus a half.
     rows = runs.select("id", "h", (F.col("at") * 2 + 1).alias("at"), "ids").unionByName(rare.join(table.select("word", "ids"), "word").select("id", "h", (F.col("at") * 2).alias("at"), "ids"))
     whole = rows.groupBy("id", "h").agg(F.array_sort(F.collect_set(F.struct("at", "ids"))).alias("parts"))

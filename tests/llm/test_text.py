@@ -33,6 +33,21 @@ def test_bpe_equals_the_public_tokenizer_and_decodes(spark, monkeypatch, head):
     assert bpe.encode(df.limit(0), table).count() == 0
 
 
+@pytest.mark.skipif(not HAVE, reason="no vocabulary here")
+def test_no_plan_of_the_encoding_prints_a_literal_again_and_again(spark):
+    table = bpe.vocabulary()
+    df = spark.createDataFrame([(i, f"word{i} " * 3) for i in range(4000)], "doc_id long, text string")
+    out = bpe.encode(df, table)
+    fold = df.select(bpe.encode_word(F.col("text"), bpe._literal(table, "int")))
+    before = spark.conf.get("spark.sql.maxPlanStringLength")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 30))
+    try:
+        assert len(out._jdf.queryExecution().executedPlan().toString()) < 50_000
+        assert len(fold._jdf.queryExecution().optimizedPlan().toString()) < 2_500_000  # the ranks once: 1.1 MB
+    finally:
+        spark.conf.set("spark.sql.maxPlanStringLength", before)
+
+
 def _words(t):
     return re.findall(r"[^\W_]+", "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)).lower())
 
