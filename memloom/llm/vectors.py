@@ -44,6 +44,8 @@ BLOCK = 32_768
 TASK_ROWS = 65_536
 TILE = 512
 COLUMNS = 2_048
+#: Copies (two numbers each) up to which they are broadcast to be left out; beyond it the vectors themselves are shuffled.
+BROADCAST_ROWS = 500_000
 #: Error allowed for a cosine in single precision; candidates within it are decided in double precision.
 SINGLE = 1e-5
 SCALE = 1_000_000
@@ -177,11 +179,18 @@ def one_vector(rows: DataFrame) -> DataFrame:
     return cut(rows.groupBy("id").agg(kept).select("id", "r.*"))
 
 
-def units(rows: DataFrame) -> DataFrame:
-    """One row for each distinct vector of a space: ``id`` is the smallest of its copies, ``copies`` their number."""
-    return rows.groupBy("digest").agg(
+def units(rows: DataFrame, same: DataFrame) -> DataFrame:
+    """One row for each distinct vector of a space: ``id`` is the smallest of its copies, ``copies`` their number.
+
+    ``same`` are the copies of ``rows``, cut off from their lineage.
+    """
+    if same.count() <= BROADCAST_ROWS:  # the vectors stay where they are
+        more, first = same.where("id <> unit").select("id"), same.where("id = unit").select("id", F.col("n").alias("copies"))
+        kept = rows.join(F.broadcast(more), "id", "left_anti").join(F.broadcast(first), "id", "left")
+        return kept.select("digest", "id", F.coalesce("copies", F.lit(1)).alias("copies"), "space", "vec", "perm", "posts")
+    return cut(rows.groupBy("digest").agg(
         F.min("id").alias("id"), F.count("*").alias("copies"), F.first("space").alias("space"), F.first("vec").alias("vec"), F.first("perm").alias("perm"), F.first("posts").alias("posts")
-    )
+    ))
 
 
 def copies(rows: DataFrame) -> DataFrame:
@@ -372,8 +381,8 @@ def nearest(df: DataFrame, k: int = 5, threshold: float = 0.80, id_col: str = "i
     vectors takes part with one of them; an empty table gives an empty result.
     """
     usable = one_vector(prepared(df, id_col, vec_col, model_col))
-    near = cut(best_links(compare_lists(units(usable), threshold, k), k).select(F.col("src").alias("unit"), F.col("dst").alias("other"), "cos"))
-    same = copies(usable)
+    same = cut(copies(usable))
+    near = cut(best_links(compare_lists(units(usable, same), threshold, k), k).select(F.col("src").alias("unit"), F.col("dst").alias("other"), "cos"))
     by_id = Window.partitionBy("unit").orderBy("id")
     few = cut(same.withColumn("place", F.row_number().over(by_id)).where(F.col("place") <= k + 1).select("unit", "id"))
     more = few.where("id > unit")

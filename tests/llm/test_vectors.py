@@ -59,6 +59,17 @@ def test_hot_lists_in_blocks_give_the_same(spark, monkeypatch, block):
     assert len(got ^ want) <= 0.05 * len(want)
 
 
+def test_distinct_vectors_move_only_where_copies_are_many(spark, monkeypatch):
+    rows = vectors.one_vector(vectors.prepared(spark.createDataFrame(_rows(7), KIND)))
+    same = vectors.cut(vectors.copies(rows))
+    near = vectors.units(rows, same)
+    assert "hashpartitioning" not in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(vectors, "BROADCAST_ROWS", 0)
+    by = ("digest", "id", "copies", "space", "vec", "perm", "posts")
+    a, b = ({tuple(map(str, r)) for r in x.select(*by).collect()} for x in (near, vectors.units(rows, same)))
+    assert a == b and len(a) == near.count() < rows.count()
+
+
 def test_footrule_similarity():
     rnd = np.random.default_rng(0)
     a, b = (np.array([rnd.permutation(20)[:8] for _ in range(6)], dtype=np.int32) for _ in range(2))
